@@ -1,4 +1,180 @@
-"""All queries of the evidence engine and their SQL."""
+"""Queries of the evidence engine and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import checks, text
+from .operators import blocks, entities, metrics, reports, scan
+from .plans.evidence import FIELDS, FILLER, LINES, evidence
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_LUHN = """list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN
+ (CASE WHEN 2 * cast(substr({d}, length({d}) - i + 1, 1) AS int) > 9 THEN 2 * cast(substr({d}, length({d}) - i + 1, 1) AS int) - 9 ELSE 2 * cast(substr({d}, length({d}) - i + 1, 1) AS int) END)
+ ELSE cast(substr({d}, length({d}) - i + 1, 1) AS int) END)) % 10 = 0"""
+
+
+@query(f"""
+WITH runs AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[0-9]+')) AS d FROM documents),
+valid AS (SELECT DISTINCT doc_id, d, text FROM runs WHERE length(d) BETWEEN 13 AND 19 AND {_LUHN.format(d='d')}),
+placed AS (SELECT doc_id, d, text, position(d IN text) - 1 AS place FROM valid),
+around AS (SELECT *, lower(substr(text, greatest(place - 200, 0) + 1, place + length(d) + 200 - greatest(place - 200, 0))) AS w FROM placed)
+SELECT doc_id, d AS normalized_value, cast(place AS int) AS char_offset, '****-****-****-' || right(d, 4) AS redacted_value FROM around
+WHERE NOT regexp_matches(w, '\\[sample\\]|\\[test\\]|\\[placeholder\\]|\\[fake\\]|sample |test |demo |mock |example ') AND d <> '4532123456789010'""")
+def card_findings(spark, d):
+    """Payment cards in documents: shape, Luhn, suppression, redaction, dedupe."""
+    got = scan.scan(_t(spark, d, "documents"), "doc_id", types=["CREDIT_CARD"])
+    return got.select(F.col("source_ref").alias("doc_id"), "normalized_value", "char_offset", "redacted_value")
+
+
+@query("""SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b[A-Za-z0-9](?:[A-Za-z0-9._%+\\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\\-]{0,61}[A-Za-z0-9])?\\.)+[A-Za-z]{2,24}\\b')) AS value FROM documents""")
+def email_candidates(spark, d):
+    return scan.candidates(_t(spark, d, "documents"), "doc_id", types=["EMAIL"]).select(F.col("source_ref").alias("doc_id"), F.col("raw").alias("value"))
+
+
+@query("""SELECT doc_id, unnest(regexp_extract_all(text, '\\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})\\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})\\b')) AS value FROM documents""")
+def ipv4_candidates(spark, d):
+    return scan.candidates(_t(spark, d, "documents"), "doc_id", types=["IPV4"]).select(F.col("source_ref").alias("doc_id"), F.col("raw").alias("value"))
+
+
+@query("""SELECT doc_id, unnest(regexp_extract_all(text, '\\+1 \\([2-9][0-9]{2}\\) [2-9][0-9]{2}-[0-9]{4}')) AS value FROM documents""")
+def phone_candidates(spark, d):
+    return scan.candidates(_t(spark, d, "documents"), "doc_id", types=["PHONE"]).select(F.col("source_ref").alias("doc_id"), F.col("raw").alias("value"))
+
+
+def _html_sql() -> str:
+    out = "html"
+    for p, to in text.HTML_STEPS:
+        out = f"regexp_replace({out}, '{p}', '{to}', 'g')"
+    for e, to in text.ENTITIES:
+        out = f"replace({out}, '{e}', '{to.replace(chr(39), chr(39) * 2)}')"
+    for p, to in text.HTML_SPACE:
+        out = f"regexp_replace({out}, '{p}', '{to}', 'g')"
+    return f"SELECT page_id, trim({out}) AS text FROM pages"
+
+
+@query(_html_sql())
+def html_text(spark, d):
+    return _t(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT o_orderkey, " + _LUHN.format(d="cast(4000000000000 + o_orderkey * 7919 AS varchar)") + " AS valid FROM orders")
+def luhn_orders(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", checks.luhn((F.lit(4000000000000) + F.col("o_orderkey") * 7919).cast("string")).alias("valid"))
+
+
+@query("""WITH v AS (SELECT p_partkey, lpad(cast(21000000 + p_partkey * 9973 AS varchar), 9, '0') AS r FROM part)
+SELECT p_partkey, (3 * (cast(substr(r,1,1) AS int) + cast(substr(r,4,1) AS int) + cast(substr(r,7,1) AS int)) + 7 * (cast(substr(r,2,1) AS int) + cast(substr(r,5,1) AS int) + cast(substr(r,8,1) AS int)) + cast(substr(r,3,1) AS int) + cast(substr(r,6,1) AS int) + cast(substr(r,9,1) AS int)) % 10 = 0 AS valid FROM v""")
+def aba_parts(spark, d):
+    return _t(spark, d, "part").select("p_partkey", checks.aba(F.lpad((F.lit(21000000) + F.col("p_partkey") * 9973).cast("string"), 9, "0")).alias("valid"))
+
+
+@query("""WITH v AS (SELECT c_custkey, lpad(cast(c_custkey % 98 AS varchar), 2, '0') AS c, lpad(cast(c_custkey * 104729 AS varchar), 14, '0') AS b FROM customer)
+SELECT c_custkey, cast(b || '1611' || c AS hugeint) % 97 = 1 AS valid FROM v""")
+def iban_customers(spark, d):
+    k = F.col("c_custkey")
+    return _t(spark, d, "customer").select("c_custkey", checks.iban(F.concat(F.lit("GB"), F.lpad((k % 98).cast("string"), 2, "0"), F.lpad((k * 104729).cast("string"), 14, "0"))).alias("valid"))
+
+
+@query("SELECT s_suppkey, " + _LUHN.format(d="('80840' || cast(1000000000 + s_suppkey * 12347 AS varchar))") + " AS valid FROM supplier")
+def npi_suppliers(spark, d):
+    return _t(spark, d, "supplier").select("s_suppkey", checks.npi((F.lit(1000000000) + F.col("s_suppkey") * 12347).cast("string")).alias("valid"))
+
+
+@query("SELECT c_custkey, length(v) BETWEEN 6 AND 17 AND length(replace(v, substr(v, 1, 1), '')) > 0 AS valid FROM (SELECT c_custkey, cast(c_custkey * 11111 AS varchar) AS v FROM customer)")
+def bank_digits(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", checks.bank_account((F.col("c_custkey") * 11111).cast("string")).alias("valid"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, o_orderkey % 5 AS form, 1930 + o_orderkey % 90 AS y, 1 + o_orderkey % 12 AS m, 1 + o_orderkey % 28 AS day FROM orders)
+SELECT o_orderkey, strftime(make_date(CASE WHEN form = 2 THEN CASE WHEN y % 100 >= 69 THEN 1900 ELSE 2000 END + y % 100 ELSE y END, m, day), '%Y-%m-%d') AS iso FROM v""")
+def dob_parse(spark, d):
+    y, m, day, form = 1930 + F.col("o_orderkey") % 90, 1 + F.col("o_orderkey") % 12, 1 + F.col("o_orderkey") % 28, F.col("o_orderkey") % 5
+    month = F.element_at(F.array(*[F.lit(x) for x in "January February March April May June July August September October November December".split()]), m.cast("int"))
+
+    def two(c):
+        return F.lpad((c % 100).cast("string"), 2, "0")
+
+    raw = (
+        F.when(form == 0, F.concat_ws("-", y.cast("string"), two(m), two(day))).when(form == 1, F.concat_ws("/", two(m), two(day), y.cast("string"))).when(form == 2, F.concat_ws("/", two(m), two(day), two(y)))
+        .when(form == 3, F.concat(month, F.lit(" "), day.cast("string"), F.lit(", "), y.cast("string"))).otherwise(F.concat(day.cast("string"), F.lit(" "), F.substring(month, 1, 3), F.lit("  "), y.cast("string")))
+    )
+    return _t(spark, d, "orders").select("o_orderkey", checks.dob_iso(raw).alias("iso"))
+
+
+_BASE = "SELECT 'm' || cast(k AS varchar) || '.eml (email body)' AS source_ref, {value} AS normalized_value FROM (SELECT c_custkey AS k FROM customer)"
+
+
+def _sql_field(name: str) -> str:
+    return FIELDS[name].replace("as string", "as varchar")
+
+
+def _evidence_findings(kind: str, field: str, value: str):
+    def run(spark, d):
+        return scan.scan(evidence(spark, d), types=[kind]).select("source_ref", "normalized_value")
+
+    run.__name__ = f"{kind.lower()}_findings"
+    query(_BASE.format(value=value.format(x=_sql_field(field))))(run)
+
+
+for _kind, _field, _value in (("SSN", "ssn", "replace({x}, '-', '')"), ("MRN", "mrn", "{x}"), ("PHONE", "phone", "regexp_replace({x}, '[^0-9]', '', 'g')"), ("DOB", "dob", "{x}"), ("EMAIL", "mail", "{x}"), ("PASSPORT", "passport", "{x}"), ("IPV4", "ip", "replace({x}, '.', '')"), ("NDC", "ndc", "replace({x}, '-', '')")):
+    _evidence_findings(_kind, _field, _value)
+
+
+def _messages(spark, d) -> DataFrame:
+    """Findings of four types of all messages, each message one entity."""
+    return scan.scan(evidence(spark, d), types=["SSN", "DOB", "EMAIL", "MRN"]).withColumn("entity_key", F.substring_index("source_ref", ".", 1))
+
+
+@query("SELECT t AS pii_type, count(*) AS n FROM customer, (VALUES ('SSN'), ('DOB'), ('EMAIL'), ('MRN')) v(t) GROUP BY t")
+def type_matrix(spark, d):
+    return reports.type_matrix(_messages(spark, d))
+
+
+@query("SELECT t AS pii_category, count(*) AS n FROM customer, (VALUES ('government_identifier'), ('personal_profile'), ('contact'), ('health_identifier')) v(t) GROUP BY t")
+def category_matrix(spark, d):
+    return reports.category_matrix(_messages(spark, d))
+
+
+@query("SELECT 'm' || cast(c_custkey AS varchar) AS entity_key, 'm' || cast(c_custkey AS varchar) || '.eml' AS file, 'Y' AS has_ssn, 'Y' AS has_dob, 'N' AS has_phone, cast(4 AS bigint) AS n_types, cast(97 AS bigint) AS mean_confidence_pct, true AS notify, 'HIGH' AS highest_risk FROM customer")
+def entity_file_rollup(spark, d):
+    return reports.entity_file(_messages(spark, d), ["SSN", "DOB", "PHONE"])
+
+
+@query("SELECT 'm' || cast(c_custkey AS varchar) AS entity_key, 'CRITICAL' AS risk_band, true AS hipaa, true AS ccpa, true AS pipeda, true AS notification_required FROM customer")
+def risk_bands(spark, d):
+    return entities.risk(_messages(spark, d)).drop("risk_score")
+
+
+@query(f"""WITH b AS (SELECT c_custkey AS k FROM customer), l AS (
+  SELECT k, unnest([{', '.join(f"'{LINES[c]}' || {_sql_field(c)}" for c in FIELDS)}]) AS line, unnest(range({len(FIELDS)})) AS i FROM b),
+p AS (SELECT k, line, i, coalesce(sum(length(line) + {len(FILLER)} + 2) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l)
+SELECT 'm' || cast(k AS varchar) || '.eml (email body)' AS source_ref, cast(0 AS int) AS block_ix, cast(0 AS int) AS start, cast(max(place + length(line) + {len(FILLER)} + 1) AS int) AS "end" FROM p GROUP BY k""")
+def block_segments(spark, d):
+    return blocks.segment(evidence(spark, d)).drop("text")
+
+
+@query("""SELECT 'ALL' AS pii_type, cast(2 * count(*) AS bigint) AS tp, cast(0 AS bigint) AS fp, cast(2 * count(*) AS bigint) AS fn, 1.0::double AS precision, 0.5::double AS recall FROM customer
+UNION ALL SELECT t, cast(CASE WHEN f THEN count(*) ELSE 0 END AS bigint), 0, cast(CASE WHEN f THEN 0 ELSE count(*) END AS bigint), CASE WHEN f THEN 1.0 ELSE 0.0 END, CASE WHEN f THEN 1.0 ELSE 0.0 END FROM customer, (VALUES ('SSN', true), ('DOB', true), ('EMAIL', false), ('MRN', false)) v(t, f) GROUP BY t, f""")
+def metrics_by_type(spark, d):
+    found = _messages(spark, d)
+    return metrics.by_type(metrics.matches(found, found.filter(F.col("pii_type").isin("SSN", "DOB"))))
