@@ -36,24 +36,38 @@ class PieceEncoder(dict):
         self.tok.encode_special_tokens = True
         self.lower, self.leading_space, self.most = self.tok.normalizer is not None, leading_space, most
         self.model, self.letters = self.tok.model, _byte_letters()
+        self.blank = self.letters[32]
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
 
     def _word(self, w: str) -> bytes:
+        """A run of letters, with or without the blank before it, straight through the merge model."""
         if self.lower:
-            w = w.lower()
-        letters = self.letters
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize("".join([letters[b] for b in w.encode()])))
+            low = w.lower()
+            if low != w:
+                return self[low]
+        if w.isascii():
+            shown = self.blank + w[1:] if w[0] == " " else w
+        else:
+            letters = self.letters
+            shown = "".join([letters[b] for b in w.encode()])
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.model.tokenize(shown)])
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
             self[""] = b""
-        m = _PLAIN(piece)
-        if m is None or (m[1] and not self.leading_space):
-            got = b"".join(i.to_bytes(4, "little") for i in self.tok.encode(piece, add_special_tokens=False).ids)
-        elif m[3]:
-            got = self[piece[:-1]] + self[m[3]]
-        else:
+        word = piece[1:] if self.leading_space and piece[0] == " " else piece
+        if word.isascii() and word.isalpha():
             got = self._word(piece)
+        else:
+            m = _PLAIN(piece)
+            if m is None or (m[1] and not self.leading_space):
+                got = b"".join([self.ids[i] for i in self.tok.encode(piece, add_special_tokens=False).ids])
+            elif m[3]:
+                got = self[piece[:-1]] + self[m[3]]
+            else:
+                got = self._word(piece)
         self[piece] = got
         return got
 
