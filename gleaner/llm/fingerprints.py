@@ -84,7 +84,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     dealt = rows.select("doc_id", "text", F.explode(visit).alias("v")).select("v.*", "doc_id", "text")
     same = Window.partitionBy("bucket", "guest", "doc_id").orderBy("text")
     follow = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
-    dealt = dealt.repartition(parts(rows), "bucket").withColumn("at", F.row_number().over(same))
+    dealt = dealt.repartition(3 * parts(rows), "bucket").withColumn("at", F.row_number().over(same))
     nxt = {f"next_{c}": F.lead(c).over(follow) for c in ("doc_id", "at", "text")}
     return dealt.withColumns(nxt).filter("guest = 0").select("bucket", "doc_id", "at", "text", F.col("next_doc_id").alias("next_id"), "next_at", "next_text")
 
@@ -105,14 +105,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, at, next_id, next_at, n_chars, edited_sha256, fingerprint, edited_fingerprint of each row."""
-    pairs = with_next(docs, 4 * parts(docs.select("doc_id", "text"))).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    pairs = with_next(docs, 12 * parts(docs.select("doc_id", "text"))).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     keys = ["bucket", "doc_id", "at"]
     both = pairs.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("x")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("x")))).alias("e"))
     words = both.select(*keys, "e.which", F.explode(F.filter(F.split("e.x", SPACE), lambda w: w != "")).alias("word"))
     sig = signatures(words.select(*keys, "which", F.xxhash64("word").alias("h")), [*keys, "which"]).select(*keys, "which", as_text().alias("print"))
     told = pairs.select(*keys, "next_id", "next_at", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    one = sig.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("print"))).alias("edited_fingerprint"))
-    return told.join(one, keys, "left").withColumns({c: F.coalesce(c, F.lit(_EMPTY)) for c in ("fingerprint", "edited_fingerprint")})
+    facts = ["next_id", "next_at", "n_chars", "edited_sha256"]
+    prints = [F.when(F.col("which") == k, F.col("print")).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))]
+    # a union, not a join: a join would push its null tests below one side's exchange of texts, and that would then be made twice
+    whole = told.select(*keys, *facts, *[F.lit(None).cast("string").alias(c) for c in ("fingerprint", "edited_fingerprint")])
+    whole = whole.unionByName(sig.select(*keys, *prints), allowMissingColumns=True)
+    full = whole.groupBy(*keys).agg(*[F.max(c).alias(c) for c in [*facts, "fingerprint", "edited_fingerprint"]])
+    return full.withColumns({c: F.coalesce(c, F.lit(_EMPTY)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def near(full: DataFrame) -> DataFrame:
