@@ -184,7 +184,22 @@ def linked(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def run_links(key: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(x: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All links within a run, as places in it; None if there are over `most`. Compared in blocks."""
+    us, vs, held = [], [], 0
+    for a in range(0, len(x), 64):
+        for b in range(a, len(x), 65536):
+            i, j = np.nonzero(np.bitwise_count(x[a : a + 64][:, None] ^ x[b : b + 65536][None, :]) <= radius)
+            later = j + b > i + a
+            us.append(i[later] + a)
+            vs.append(j[later] + b)
+            held += int(later.sum())
+            if held > most:
+                return None
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def run_links(key: np.ndarray, x: np.ndarray, radius: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys. Runs of up to 32 are compared at once for all runs, shifted step by step."""
     n = len(key)
     if n < 2:
@@ -200,14 +215,17 @@ def run_links(key: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray,
         vs.append(x[i + d])
     for a, m in zip(first[size > 32].tolist(), size[size > 32].tolist(), strict=True):
         part = x[a : a + m]
-        u, v = linked(part, radius)
+        u, v = (near_pairs(part, radius, 64 * m) if every else None) or linked(part, radius)
         us.append(part[u])
         vs.append(part[v])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
-    """u, v: links between different fingerprints that span the same components as all links within radius."""
+def links(fps: DataFrame, radius: int, every: bool = False) -> DataFrame:
+    """u, v: links between different fingerprints that span the same components as all links within radius.
+
+    every: all links, but for runs of over 64 links a member, where each member's link to the first it hangs on does.
+    """
     keys = []
     for i, (bits, t) in enumerate(plan(fps, radius)):
         for k, m in enumerate(_blanked(bits, t)):
@@ -231,8 +249,8 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
             cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
             held_k, held_x = k[cut:], x[cut:]
             if cut:
-                yield out(*run_links(k[:cut], x[:cut], radius))
-        yield out(*run_links(held_k, held_x, radius))
+                yield out(*run_links(k[:cut], x[:cut], radius, every))
+        yield out(*run_links(held_k, held_x, radius, every))
 
     def out(u, v):
         return pa.RecordBatch.from_arrays([pa.array(u.astype(np.uint64).view(np.int64)), pa.array(v.astype(np.uint64).view(np.int64))], names=["u", "v"])
@@ -270,11 +288,12 @@ def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int
     """doc_id, copy_of: each document that is let go, and the kept one that it is like.
 
     Likeness is the Jaccard similarity of the sets of `width`-word shingles. Candidates come from fingerprints of
-    single words, of which texts that alike differ in few bits (on the test tables in 7 at most). In each component of
-    candidates the least doc_id is the centre; members at least as similar to it as asked go, and the others are
-    linked anew among themselves, until no two are left together. So every document that goes has been verified against
-    one that stays, and a component of any size costs one comparison a member and round. Equal texts are one node, of
-    their least doc_id. Rows that share a doc_id and text are one document; rows without a doc_id stay.
+    single words, of which texts that are alike differ in few bits (on the test tables in 7 at most); each candidate
+    pair is verified on both texts' shingles, and the verified pairs' components are the groups, of which the least
+    doc_id stays. Equal texts are one node, of their least doc_id; texts with one fingerprint are verified against the
+    first of them. In runs where fingerprints have over 64 neighbours each (large groups of near copies), a member is
+    verified against the fingerprint that it hangs on, not against each other member. Rows that share a doc_id and
+    text are one document; rows without a doc_id stay.
     """
     v = F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -285,29 +304,22 @@ def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int
     rows = written(on_texts(docs.select("doc_id", v.alias("v"), "text").filter(F.col("doc_id").isNotNull()), "text", "doc_id long, v long, fp long", run))
     nodes = written(rows.groupBy("v", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     gone = join_hot(rows, nodes.select("v", F.col("doc_id").alias("copy_of"), "n"), ["v"], "n").filter("doc_id <> copy_of").select("doc_id", "copy_of")
-    found, left, sets = [], nodes.select("doc_id", "fp"), None
-    while True:
-        fps = written(left.groupBy("fp").agg(F.count("*").alias("n")))
-        roots = connected_components(links(fps.select("fp"), radius))
-        of = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        groups_of = left.join(of.select("fp", "root"), "fp")
-        centres = groups_of.groupBy("root").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-        members = written(groups_of.join(centres.select("root", "centre"), "root"))
-        if members.isEmpty():
-            break
-        if sets is None:
-            some = members.select("doc_id")
-            sets = written(shingles(docs.join(some, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
-        own = members.filter("doc_id <> centre").join(sets, "doc_id")
-        theirs = sets.select(F.col("doc_id").alias("centre"), F.col("set").alias("other"))
-        met = F.size(F.array_intersect("set", "other"))
-        like = met / F.greatest(F.lit(1), F.size("set") + F.size("other") - met)
-        judged = written(own.join(theirs, "centre").select("doc_id", "fp", "centre", (like >= similarity).alias("same")))
-        found.append(judged.filter("same").select("doc_id", F.col("centre").alias("copy_of")))
-        left = judged.filter("not same").select("doc_id", "fp")
-    for f in found:
-        gone = gone.unionByName(f)
-    return gone
+    prints = written(nodes.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
+    near = written(links(prints.select("fp"), radius, every=True).distinct())
+    head = prints.select("fp", "head")
+    pairs = near.join(head.toDF("u", "a"), "u").join(head.toDF("v", "b"), "v").select("a", "b")
+    same = nodes.join(prints.filter("n > 1").select("fp", "head"), "fp").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    pairs = written(pairs.unionByName(same).distinct())
+    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(shingles(docs.join(some, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    met = F.size(F.array_intersect("x", "y"))
+    like = met / F.greatest(F.lit(1), F.size("x") + F.size("y") - met)
+    verified = both.filter((like >= similarity) | (F.size("x") + F.size("y") == 0)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = written(connected_components(verified).filter("node <> root"))
+    # copies of a text go with the text
+    of_texts = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("copy_of"))
+    return gone.unionByName(of_texts)
 
 
 def deduped(docs: DataFrame, **parameters) -> DataFrame:
