@@ -184,11 +184,12 @@ def word_ids(words: list[str], edges: np.ndarray, ranks: dict[int, int], model:
 
 def encode(docs: DataFrame, model: Model, block_mb: int = 4) -> DataFrame:
     """doc_id, row (its place among rows of a block), ids (array<int>) of each document's whole text."""
-    rows = docs.select("doc_id", normal(F.col("text")).alias("text"))
     exchange = parts(docs.select("doc_id", "text"))
     blocks = exchange * max(1, 16 // block_mb)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int")).repartition(exchange, "block")
-    found = F.regexp_extract_all("text", F.lit(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+"), F.lit(0))
+    # id and text are one column, so that the words' branch and the texts' branch need the same columns and share one exchange
+    keyed = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(normal(F.col("text")), F.lit("")))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), keyed.alias("keyed")).repartition(exchange, "block")
+    found = F.regexp_extract_all(F.expr("substr(keyed, instr(keyed, '\n') + 1)"), F.lit(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+"), F.lit(0))
     words = dealt.select("block", F.explode(found).alias("word")).distinct()
     table = piece_table(docs.sparkSession, model)
     if model.bpe:
@@ -210,11 +211,12 @@ def encode(docs: DataFrame, model: Model, block_mb: int = 4) -> DataFrame:
             got = known[word] = word_ids([word], np.empty((0, 4), np.int64), ranks, model)[0]
             return got
 
-        out = [b"".join([known[w] if w in known else of(w) for w in split(t.as_py() or "")]) for t in texts["text"]]
+        keys, whole = zip(*[t.as_py().split("\n", 1) for t in texts["keyed"]], strict=True) if len(texts) else ((), ())
+        out = [b"".join([known[w] if w in known else of(w) for w in split(t)]) for t in whole]
         n = np.array([len(x) // 4 for x in out], np.int64)
         offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
-        return pa.table({"doc_id": texts["doc_id"], "row": np.arange(len(out)), "ids": ids})
+        return pa.table({"doc_id": pa.array([int(k) if k else None for k in keys], pa.int64()), "row": np.arange(len(out)), "ids": ids})
 
     return dealt.groupBy("block").cogroup(edges.groupBy("edge_block")).applyInArrow(run, "doc_id long, row long, ids array<int>")
 
