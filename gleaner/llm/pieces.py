@@ -184,8 +184,7 @@ def word_ids(words: list[str], edges: np.ndarray, ranks: dict[int, int], model:
 
 def encode(docs: DataFrame, model: Model, block_mb: int = 4) -> DataFrame:
     """doc_id, row (its place among rows of a block), ids (array<int>) of each document's whole text."""
-    exchange = parts(docs.select("doc_id", "text"))
-    blocks = exchange * max(1, 16 // block_mb)
+    blocks = exchange = parts(docs.select("doc_id", "text"), mb=block_mb)
     # id and text are one column, so that the words' branch and the texts' branch need the same columns and share one exchange
     keyed = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(normal(F.col("text")), F.lit("")))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), keyed.alias("keyed")).repartition(exchange, "block")
