@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import checks, text
-from .operators import blocks, entities, metrics, reports, scan
+from .operators import attribution, blocks, entities, metrics, reports, scan
 from .plans.evidence import FIELDS, FILLER, LINES, evidence
 
 
@@ -178,3 +178,10 @@ UNION ALL SELECT t, cast(CASE WHEN f THEN count(*) ELSE 0 END AS bigint), 0, cas
 def metrics_by_type(spark, d):
     found = _messages(spark, d)
     return metrics.by_type(metrics.matches(found, found.filter(F.col("pii_type").isin("SSN", "DOB"))))
+
+
+@query("SELECT 'm' || cast(c_custkey AS varchar) || '.eml (email body)' AS source_ref, 'email:ana.river' || cast(c_custkey AS varchar) || '@gmail.com' AS entity_key, 'Ana River' AS entity_name, CASE t WHEN 'EMAIL' THEN 0.99::double ELSE 0.88::double END AS attribution_confidence, t AS pii_type FROM customer, (VALUES ('SSN'), ('EMAIL')) v(t)")
+def attributed_findings(spark, d):
+    """Findings of two types with their owners, who are named by a labelled mail address in the same block."""
+    src = evidence(spark, d)
+    return attribution.attribute(scan.scan(src, types=["SSN", "EMAIL"]), src).select("source_ref", "entity_key", "entity_name", "attribution_confidence", "pii_type")
