@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into words where a run of blanks begins (no piece of such a vocabulary goes on past a blank), and each
-block of documents keeps its distinct words. A word's lattice is relational: its substrings of bounded length are
-exploded, and an equi-join to the piece table (as many rows as the vocabulary, so it is broadcast) leaves the edges.
-Edges are grouped by word and folded into the word's pieces:
+task keeps its distinct words. A word's lattice is relational: its substrings of bounded length are exploded, and an
+equi-join to the piece table (as many rows as the vocabulary, so it is broadcast) leaves the edges. No text and no edge
+is exchanged. Edges are grouped by word and folded into the word's pieces:
 
 * models of the unigram kind: Viterbi, by one `aggregate` over the word's edges in order of their ends;
 * models of the BPE kind, as the public one is: their segmentation is not the path of the largest sum of scores, so
@@ -14,23 +14,27 @@ Characters without an edge become the ids of their UTF-8 bytes, or the unknown i
 its words in order. Decoding looks up each id's bytes, puts them together, and restores blanks.
 
 Null and empty texts have no ids. Rows that share a doc_id are encoded one by one. Very long words stay whole: their
-lattice grows with their length times the longest piece.
+lattice is built a chunk of starts at a time, and they are merged with a heap.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import texts_of
 
 BLANK = "▁"
+CHUNK = 240
+_NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
@@ -44,6 +48,13 @@ class Model:
     longest: int
     bpe: bool
 
+    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each id's rank (0: the best score), and each rank's id."""
+        ids = np.array([i for _, i, _ in sorted(self.pieces, key=lambda p: -p[2])], np.int64)
+        rank = np.full(ids.max(initial=0) + 1, _NONE, np.int32)
+        rank[ids] = np.arange(len(ids), dtype=np.int32)
+        return rank, ids
+
 
 def load(path: str) -> Model:
     """A model file of the sentencepiece library with the identity normaliser, a blank before the text, and blanks kept."""
@@ -108,116 +119,234 @@ def viterbi(edges: DataFrame, unknown: int, penalty: float = -1e4) -> DataFrame:
 # ---- merges
 
 
-def merged(lengths: np.ndarray, edges: np.ndarray, longest: int) -> list[list[tuple[int, int]]]:
-    """(start, n) of each word's symbols once no edge joins two neighbours.
+def joined(size: int, rank: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """(start, n) of one long word's symbols once no edge joins two neighbours; a heap holds the pairs to join."""
+    n, before = [1] * size, list(range(-1, size - 1))
+    heap: list[tuple[int, int, int, int]] = []
 
-    edges: (word, start, n, rank) rows, starts from 0, lower ranks first. All words of one length are merged at once, a
-    step joining each word's best pair; words over 64 letters are merged one by one.
-    """
-    out: list = [None] * len(lengths)
-    for size in np.unique(lengths):
-        size = int(size)
-        who = np.flatnonzero(lengths == size)
-        if size == 1:
-            for w in who:
-                out[w] = [(0, 1)]
+    def offer(s: int, t: int) -> None:
+        r = rank.get((s, n[s] + n[t]))
+        if r is not None:
+            heapq.heappush(heap, (r, s, n[s], n[t]))
+
+    for s in range(size - 1):
+        offer(s, s + 1)
+    while heap:
+        _, s, left, right = heapq.heappop(heap)
+        t = s + left
+        if n[s] != left or t >= size or n[t] != right:  # one of the two has grown or gone
             continue
-        width = min(size, longest)
-        at = np.full(len(lengths), -1)
-        at[who] = np.arange(len(who))
-        for a in range(0, len(who), max(1, 400_000 // (size * width))):
-            some = who[a : a + max(1, 400_000 // (size * width))]
-            lo, hi = np.searchsorted(edges[:, 0], [some[0], some[-1] + 1])
-            e = edges[lo:hi]
-            index = np.full(len(lengths), -1) if len(some) > 1 else None
-            if index is not None:
-                index[some] = np.arange(len(some))
-                row = index[e[:, 0]]
-                e, row = e[row >= 0], row[row >= 0]
-            else:
-                e = e[e[:, 0] == some[0]]
-                row = np.zeros(len(e), np.int64)
-            rank = np.full((len(some), size + 1, width + 1), np.iinfo(np.int32).max, np.int32)
-            rank[row, e[:, 1], e[:, 2]] = e[:, 3]
-            starts = np.ones((len(some), size), bool)  # where a symbol begins
-            live = np.arange(len(some))
-            while len(live):
-                s = starts[live]
-                # next symbol's start and end, for each place
-                pos = np.where(s, np.arange(size), size)
-                nxt = np.minimum.accumulate(np.concatenate([pos[:, 1:], np.full((len(live), 1), size)], 1)[:, ::-1], 1)[:, ::-1]
-                ext = np.concatenate([nxt, np.full((len(live), 1), size)], 1)
-                after = np.take_along_axis(ext, nxt, 1)
-                n = np.where(s & (nxt < size), after - np.arange(size), 0)
-                n = np.where(n > width, 0, n)
-                cost = np.where(n > 0, rank[live[:, None], np.arange(size)[None, :], n], np.iinfo(np.int32).max)
-                best = cost.argmin(1)
-                can = cost[np.arange(len(live)), best] < np.iinfo(np.int32).max
-                starts[live[can], nxt[np.flatnonzero(can), best[can]]] = False
-                live = live[can]
-            for w, s in zip(some.tolist(), starts, strict=True):
-                b = np.flatnonzero(s).tolist()
-                out[w] = list(zip(b, np.diff([*b, size]).tolist(), strict=True))
-    return out
+        n[s], n[t] = left + right, 0
+        after = s + n[s]
+        if after < size:
+            before[after] = s
+            offer(s, after)
+        if before[s] >= 0:
+            offer(before[s], s)
+    return [(s, k) for s, k in enumerate(n) if k]
 
 
-def word_ids(words: list[str], edges: np.ndarray, ranks: dict[int, int], model: Model) -> list[bytes]:
-    """Ids of words as little-endian bytes. edges: (word, start, n, id) rows in order of word."""
-    with_rank = edges.copy()
-    with_rank[:, 3] = [ranks[i] for i in edges[:, 3].tolist()]
-    symbols = merged(np.array([len(w) for w in words]), with_rank, model.longest)
-    known = {(w << 40) | (s << 20) | n: i for w, s, n, i in edges.tolist()}
-    out = []
-    for k, (word, parts_of) in enumerate(zip(words, symbols, strict=True)):
-        ids = []
+def word_ids(words: list[str], edges: np.ndarray, model: Model, ranks: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """Ids of words as little-endian bytes. edges: (word, start, n, id) rows in order of word, starts from 0.
+
+    All words of one length are merged at once, a step joining each word's best pair; words over 64 letters are merged
+    one by one.
+    """
+    rank_of, id_of = ranks
+    out: list[bytes] = [b""] * len(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.searchsorted(edges[:, 0], np.arange(len(words) + 1))
+
+    def spelt(w: int, parts_of: list[tuple[int, int]], known: dict[tuple[int, int], int]) -> bytes:
+        ids: list[int] = []
         for s, n in parts_of:
-            i = known.get((k << 40) | (s << 20) | n)
+            i = known.get((s, n))
             if i is not None:
-                ids.append(i)
+                ids.append(id_of[i])
             elif model.byte_ids:
-                ids += [model.byte_ids[b] for b in word[s : s + n].encode("utf-8", "surrogatepass")]
+                ids += [model.byte_ids[b] for b in words[w][s : s + n].encode("utf-8", "surrogatepass")]
             else:
                 ids.append(model.unknown)
-        out.append(np.array(ids, "<u4").tobytes())
+        return np.array(ids, "<u4").tobytes()
+
+    def own(w: int) -> dict[tuple[int, int], int]:
+        e = edges[first[w] : first[w + 1]]
+        return dict(zip(zip(e[:, 1].tolist(), e[:, 2].tolist(), strict=True), rank_of[e[:, 3]].tolist(), strict=True))
+
+    at = np.zeros(len(words), np.int64)
+    length_of_edge = lengths[edges[:, 0]]
+    for size in np.unique(lengths).tolist():
+        who = np.flatnonzero(lengths == size)
+        if size > 64:
+            for w in who.tolist():
+                known = own(w)
+                out[w] = spelt(w, joined(size, known), known)
+            continue
+        if size == 0:
+            continue
+        width = min(size, model.longest)
+        of_size = edges[length_of_edge == size]
+        step = max(1, 400_000 // (size * width))
+        for a in range(0, len(who), step):
+            some = who[a : a + step]
+            at[some] = np.arange(len(some))
+            lo, hi = np.searchsorted(of_size[:, 0], [some[0], some[-1] + 1])
+            e = of_size[lo:hi]
+            rank = np.full((len(some), size + 1, width + 1), _NONE, np.int32)
+            rank[at[e[:, 0]], e[:, 1], e[:, 2]] = rank_of[e[:, 3]]
+            starts = _merged(rank, size, width)
+            row, pos = np.nonzero(starts)
+            until = np.append(pos[1:], size)
+            until[np.flatnonzero(np.diff(row))] = size
+            got = rank[row, pos, until - pos]
+            ends = np.cumsum(starts.sum(1))
+            raw = id_of[np.where(got < _NONE, got, 0)].astype("<u4").tobytes()
+            lo = 0
+            for w, hi in zip(some.tolist(), (4 * ends).tolist(), strict=True):
+                out[w] = raw[lo:hi]
+                lo = hi
+            for r in np.unique(row[got == _NONE]).tolist():  # letters that are no piece
+                b = np.flatnonzero(starts[r]).tolist()
+                out[some[r]] = spelt(int(some[r]), list(zip(b, np.diff([*b, size]).tolist(), strict=True)), own(int(some[r])))
     return out
 
 
-def encode(docs: DataFrame, model: Model, block_mb: int = 4) -> DataFrame:
-    """doc_id, row (its place among rows of a block), ids (array<int>) of each document's whole text."""
-    blocks = exchange = parts(docs.select("doc_id", "text"), mb=block_mb)
-    # id and text are one column, so that the words' branch and the texts' branch need the same columns and share one exchange
-    keyed = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(normal(F.col("text")), F.lit("")))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), keyed.alias("keyed")).repartition(exchange, "block")
-    found = F.regexp_extract_all(F.expr("substr(keyed, instr(keyed, '\n') + 1)"), F.lit(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+"), F.lit(0))
-    words = dealt.select("block", F.explode(found).alias("word")).distinct()
-    table = piece_table(docs.sparkSession, model)
-    if model.bpe:
-        edges = lattice(words, table.select("piece", "id"), model.longest).select(F.col("block").alias("edge_block"), "word", F.col("start").cast("int"), F.col("n").cast("int"), "id")
-    else:
-        raise ValueError("unigram models: use viterbi() on lattice()")
-    ranks = {i: k for k, (_, i, _) in enumerate(sorted(model.pieces, key=lambda p: -p[2]))}
+def _merged(rank: np.ndarray, size: int, width: int) -> np.ndarray:
+    """Where symbols begin in words of one size once no edge joins two neighbours; rank: (word, start, n)."""
+    starts = np.ones((len(rank), size), bool)
+    live, places = np.arange(len(rank)), np.arange(size)
+    while len(live):
+        s = starts[live]
+        # where the next symbol starts, and where it ends, for each place
+        pos = np.where(s, places, size)
+        nxt = np.minimum.accumulate(np.concatenate([pos[:, 1:], np.full((len(live), 1), size)], 1)[:, ::-1], 1)[:, ::-1]
+        after = np.take_along_axis(np.concatenate([nxt, np.full((len(live), 1), size)], 1), nxt, 1)
+        n = np.where(s & (nxt < size), after - places, 0)
+        n[n > width] = 0
+        cost = np.where(n > 0, rank[live[:, None], places[None, :], n], _NONE)
+        best = cost.argmin(1)
+        can = np.flatnonzero(cost[np.arange(len(live)), best] < _NONE)
+        starts[live[can], nxt[can, best[can]]] = False
+        live = live[can]
+    return starts
+
 
-    def run(texts: pa.Table, edges: pa.Table) -> pa.Table:
-        codes = edges["word"].combine_chunks().dictionary_encode()
-        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-        names = codes.dictionary.to_pylist()
-        e = np.stack([codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), edges["start"].to_numpy().astype(np.int64) - 1, edges["n"].to_numpy().astype(np.int64), edges["id"].to_numpy().astype(np.int64)], 1) if len(edges) else np.empty((0, 4), np.int64)
-        e = e[np.argsort(e[:, 0], kind="stable")]
-        known = dict(zip(names, word_ids(names, e, ranks, model), strict=True))
-        split = _WORDS.findall
+# ---- texts
 
-        def of(word: str) -> bytes:  # a word without any edge: all of its letters are unknown to the vocabulary
-            got = known[word] = word_ids([word], np.empty((0, 4), np.int64), ranks, model)[0]
-            return got
 
-        keys, whole = zip(*[t.as_py().split("\n", 1) for t in texts["keyed"]], strict=True) if len(texts) else ((), ())
-        out = [b"".join([known[w] if w in known else of(w) for w in split(t)]) for t in whole]
-        n = np.array([len(x) // 4 for x in out], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
-        return pa.table({"doc_id": pa.array([int(k) if k else None for k in keys], pa.int64()), "row": np.arange(len(out)), "ids": ids})
+def words_of(text: str) -> list[str]:
+    """The text's words, each without the blank that it begins with."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or BLANK in text:
+        return [w[1:] for w in _WORDS.findall(BLANK + text.replace(" ", BLANK))]
+    return text.split(" ")
 
-    return dealt.groupBy("block").cogroup(edges.groupBy("edge_block")).applyInArrow(run, "doc_id long, row long, ids array<int>")
+
+def new_words(docs: DataFrame, longest: int, most: int) -> DataFrame:
+    """Rows of one stream: each slice's words that its task has not met (a, starts, s), then its texts (a null, s).
+
+    a: the word's number and the place of s in it; s: up to `starts` of its letters, and as many more as a piece may
+    reach. After `most` words a task forgets them and numbers from 0 again, so that its memory is bounded.
+    """
+    schema = pa.schema([("a", pa.int64()), ("starts", pa.int32()), ("s", pa.string()), ("doc_id", pa.int64())])
+
+    def run(batches):
+        seen: set[str] = set()
+        count = 0
+        for batch in batches:
+            for part, texts in texts_of(batch, "text", 2 << 20):
+                if len(seen) >= most:
+                    seen, count = set(), 0
+                fresh = [w for w in dict.fromkeys(w for t in texts for w in words_of(t)) if w not in seen]
+                seen.update(fresh)
+                a, starts, s = [], [], []
+                for number, w in enumerate(fresh, count):
+                    w = BLANK + w
+                    for base in range(0, len(w), CHUNK):
+                        a.append(number << 32 | base)
+                        starts.append(min(CHUNK, len(w) - base))
+                        s.append(w[base : base + CHUNK + longest - 1])
+                count += len(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(starts, pa.int32()), pa.array(s, pa.string()), pa.nulls(len(a), pa.int64())], schema=schema)
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(texts, pa.string()), part.column(0).cast(pa.int64())], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "a long, starts int, s string, doc_id long")
+
+
+def stream_edges(stream: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """The lattice of a stream's words: its rows as they are (b: starts), each word's edges after it (b: start, n, id)."""
+    starts = stream.select("*", F.explode(F.expr("sequence(0, coalesce(starts, 0))")).alias("start"))
+    spans = starts.select("*", F.explode(F.expr(f"if(start = 0, array(0), sequence(1, least({longest}, length(s) - start + 1)))")).alias("n"))
+    met = spans.withColumn("piece", F.expr("if(n > 0, substring(s, start, n), null)")).join(F.broadcast(table), "piece", "left").filter("n = 0 OR id IS NOT NULL")
+    edge = "shiftleft(cast(start AS long), 40) + shiftleft(cast(n AS long), 32) + id"
+    return met.selectExpr("a", f"if(n = 0, cast(starts AS long), {edge}) AS b", "n", "if(n = 0, s, null) AS s", "doc_id")
+
+
+def encode(docs: DataFrame, model: Model, most: int = 500_000) -> DataFrame:
+    """doc_id, ids (array<int>) of each document's whole text.
+
+    One stage without an exchange: each task builds the lattice of the words it has not met yet (at most `most` are
+    remembered), folds a word's edges as they arrive one after another, and looks its texts' words up. The join to the
+    broadcast piece table keeps a task's rows in order; a word that came without its edges would fail the lookup.
+    """
+    if not model.bpe:
+        raise ValueError("unigram models: use viterbi() on lattice()")
+    table = piece_table(docs.sparkSession, model).select("piece", "id")
+    low, ranks = (1 << 32) - 1, model.ranks()
+
+    def run(batches):
+        known: dict[str, bytes] = {}
+        names: list[str] = []
+        held: list[np.ndarray] = []
+        zero = 0  # the number of names[0]
+
+        def fold(upto: int) -> None:
+            nonlocal names, held, zero
+            e = np.concatenate(held) if held else np.empty((0, 4), np.int64)
+            e[:, 0] -= zero
+            cut = int(np.searchsorted(e[:, 0], upto))
+            known.update(zip([w[1:] for w in names[:upto]], word_ids(names[:upto], e[:cut], model, ranks), strict=True))
+            rest = e[cut:]
+            rest[:, 0] += zero
+            names, held, zero = names[upto:], [rest], zero + upto
+
+        def take(a: np.ndarray, b: np.ndarray, n: np.ndarray, s: pa.Array) -> None:
+            nonlocal zero
+            opens = np.flatnonzero(n == 0)
+            for x, k, span in zip(a[opens].tolist(), b[opens].tolist(), s.take(pa.array(opens)).to_pylist(), strict=True):
+                if x & low:
+                    names[-1] += span[:k]
+                    continue
+                if x == 0:
+                    known.clear()
+                if not names:
+                    zero = x >> 32
+                names.append(span[:k])
+            i = np.flatnonzero(n)
+            held.append(np.stack([a[i] >> 32, (a[i] & low) + (b[i] >> 40) - 1, n[i], b[i] & low], 1))
+            if len(names) > 1 and sum(map(len, held)) > 2_000_000:
+                fold(len(names) - 1)  # the last word may go on
+
+        for batch in batches:
+            a = pc.fill_null(batch.column(0), -1).to_numpy()
+            b = pc.fill_null(batch.column(1), 0).to_numpy()
+            n, s = batch.column(2).to_numpy().astype(np.int64), batch.column(3)
+            is_text = a < 0
+            cuts = [0, *(np.flatnonzero(np.diff(is_text)) + 1).tolist(), len(a)] if len(a) else []
+            for lo, hi in zip(cuts, cuts[1:]):  # noqa: RUF007
+                if not is_text[lo]:
+                    take(a[lo:hi], b[lo:hi], n[lo:hi], s.slice(lo, hi - lo))
+                    continue
+                fold(len(names))
+                of = known.__getitem__
+                out = [b"".join(map(of, words_of(t))) for t in s.slice(lo, hi - lo).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(4).slice(lo, hi - lo), ids], names=["doc_id", "ids"])
+
+    return stream_edges(new_words(docs, model.longest, most), table, model.longest).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decoded(column: str, model: Model):
@@ -233,6 +362,6 @@ def decoded(column: str, model: Model):
 
     @pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
-        return pd.Series([b"".join([table[i] for i in x]).decode("utf-8", "replace").removeprefix(" ") if x is not None else None for x in ids])
+        return pd.Series([b"".join([table[i] for i in x.tolist()]).decode("utf-8", "replace").removeprefix(" ") if x is not None else None for x in ids])
 
     return run(column)
