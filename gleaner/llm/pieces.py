@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into words where a run of blanks begins (no piece of such a vocabulary goes on past a blank), and each
-task keeps its distinct words. A word's lattice is relational: its substrings of bounded length are exploded, and an
-equi-join to the piece table (as many rows as the vocabulary, so it is broadcast) leaves the edges. No text and no edge
-is exchanged. Edges are grouped by word and folded into the word's pieces:
+Texts are cut into words where a run of blanks begins, and words into runs of letters, where no piece of the vocabulary
+goes on past the cut; each task keeps its distinct runs. A run's lattice is relational: its substrings of bounded length
+are exploded, and an equi-join to the piece table (as many rows as the vocabulary, so it is broadcast) leaves the edges.
+No text and no edge is exchanged. Edges are grouped by run and folded into the run's pieces:
 
-* models of the unigram kind: Viterbi, by one `aggregate` over the word's edges in order of their ends;
+* models of the unigram kind: Viterbi, by one `aggregate` over a word's edges in order of their ends;
 * models of the BPE kind, as the public one is: their segmentation is not the path of the largest sum of scores, so
   Viterbi gives other ids than the library. The fold is that of merges instead: over the same edges, the adjacent pair
   whose edge has the best score is joined, the leftmost of equals first, until no edge joins two neighbours.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,7 @@ from .common import texts_of
 
 BLANK = "▁"
 CHUNK = 240
+WORDS = 200_000
 _NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
@@ -55,6 +57,23 @@ class Model:
         rank[ids] = np.arange(len(ids), dtype=np.int32)
         return rank, ids
 
+    def runs(self) -> re.Pattern:
+        """Matches a word's runs that no piece goes past: letters of two runs never stand side by side in a piece."""
+        head: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while head.setdefault(c, c) != c:
+                c = head[c]
+            return c
+
+        side_by_side = {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)}
+        for a, b in side_by_side:
+            head[find(a)] = find(b)
+        kinds = defaultdict(list)
+        for c in sorted(head):
+            kinds[find(c)].append(c)
+        return re.compile("|".join(["[" + "".join(map(re.escape, k)) + "]+" for _, k in sorted(kinds.items())] + [r"[\s\S]"]))
+
 
 def load(path: str) -> Model:
     """A model file of the sentencepiece library with the identity normaliser, a blank before the text, and blanks kept."""
@@ -243,26 +262,31 @@ def words_of(text: str) -> list[str]:
     return text.split(" ")
 
 
-def new_words(docs: DataFrame, longest: int, most: int) -> DataFrame:
-    """Rows of one stream: each slice's words that its task has not met (a, starts, s), then its texts (a null, s).
+def new_runs(docs: DataFrame, model: Model, most: int) -> DataFrame:
+    """Rows of one stream: each slice's runs that its task has not met (a, starts, s), then its texts (a null, s).
 
-    a: the word's number and the place of s in it; s: up to `starts` of its letters, and as many more as a piece may
-    reach. After `most` words a task forgets them and numbers from 0 again, so that its memory is bounded.
+    a: the run's number and the place of s in it; s: up to `starts` of its letters, and as many more as a piece may
+    reach. After `most` runs a task forgets them and numbers from 0 again, so that its memory is bounded.
     """
+    longest, cut = model.longest, model.runs()
     schema = pa.schema([("a", pa.int64()), ("starts", pa.int32()), ("s", pa.string()), ("doc_id", pa.int64())])
 
     def run(batches):
         seen: set[str] = set()
+        met: set[str] = set()
         count = 0
         for batch in batches:
-            for part, texts in texts_of(batch, "text", 2 << 20):
+            for part, texts in texts_of(batch, "text", 1 << 20):
                 if len(seen) >= most:
-                    seen, count = set(), 0
-                fresh = [w for w in dict.fromkeys(w for t in texts for w in words_of(t)) if w not in seen]
+                    seen, met, count = set(), set(), 0
+                if len(met) >= WORDS:
+                    met = set()
+                words = dict.fromkeys(w for t in texts for w in words_of(t) if w not in met)
+                met.update(words)
+                fresh = [u for u in dict.fromkeys(u for w in words for u in cut.findall(BLANK + w)) if u not in seen]
                 seen.update(fresh)
                 a, starts, s = [], [], []
                 for number, w in enumerate(fresh, count):
-                    w = BLANK + w
                     for base in range(0, len(w), CHUNK):
                         a.append(number << 32 | base)
                         starts.append(min(CHUNK, len(w) - base))
@@ -276,7 +300,7 @@ def new_words(docs: DataFrame, longest: int, most: int) -> DataFrame:
 
 
 def stream_edges(stream: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """The lattice of a stream's words: its rows as they are (b: starts), each word's edges after it (b: start, n, id)."""
+    """The lattice of a stream's runs: its rows as they are (b: starts), each run's edges after it (b: start, n, id)."""
     starts = stream.select("*", F.explode(F.expr("sequence(0, coalesce(starts, 0))")).alias("start"))
     spans = starts.select("*", F.explode(F.expr(f"if(start = 0, array(0), sequence(1, least({longest}, length(s) - start + 1)))")).alias("n"))
     met = spans.withColumn("piece", F.expr("if(n > 0, substring(s, start, n), null)")).join(F.broadcast(table), "piece", "left").filter("n = 0 OR id IS NOT NULL")
@@ -284,20 +308,32 @@ def stream_edges(stream: DataFrame, table: DataFrame, longest: int) -> DataFrame
     return met.selectExpr("a", f"if(n = 0, cast(starts AS long), {edge}) AS b", "n", "if(n = 0, s, null) AS s", "doc_id")
 
 
-def encode(docs: DataFrame, model: Model, most: int = 500_000) -> DataFrame:
+def encode(docs: DataFrame, model: Model, most: int = 300_000) -> DataFrame:
     """doc_id, ids (array<int>) of each document's whole text.
 
-    One stage without an exchange: each task builds the lattice of the words it has not met yet (at most `most` are
-    remembered), folds a word's edges as they arrive one after another, and looks its texts' words up. The join to the
-    broadcast piece table keeps a task's rows in order; a word that came without its edges would fail the lookup.
+    One stage without an exchange: each task builds the lattice of the runs of its words that it has not met yet (at
+    most `most` are remembered), folds a run's edges as they arrive one after another, and puts its texts' words
+    together. The join to the broadcast piece table keeps a task's rows in order; a run that had not come before its
+    texts would fail the lookup.
     """
     if not model.bpe:
         raise ValueError("unigram models: use viterbi() on lattice()")
     table = piece_table(docs.sparkSession, model).select("piece", "id")
-    low, ranks = (1 << 32) - 1, model.ranks()
+    low, ranks, cut = (1 << 32) - 1, model.ranks(), model.runs()
 
     def run(batches):
         known: dict[str, bytes] = {}
+
+        class Words(dict):
+            """word -> bytes of its ids, put together from its runs; forgets when there are many."""
+
+            def __missing__(self, w: str) -> bytes:
+                if len(self) >= WORDS:
+                    self.clear()
+                got = self[w] = b"".join([known[u] for u in cut.findall(BLANK + w)])
+                return got
+
+        of = Words().__getitem__
         names: list[str] = []
         held: list[np.ndarray] = []
         zero = 0  # the number of names[0]
@@ -307,7 +343,7 @@ def encode(docs: DataFrame, model: Model, most: int = 500_000) -> DataFrame:
             e = np.concatenate(held) if held else np.empty((0, 4), np.int64)
             e[:, 0] -= zero
             cut = int(np.searchsorted(e[:, 0], upto))
-            known.update(zip([w[1:] for w in names[:upto]], word_ids(names[:upto], e[:cut], model, ranks), strict=True))
+            known.update(zip(names[:upto], word_ids(names[:upto], e[:cut], model, ranks), strict=True))
             rest = e[cut:]
             rest[:, 0] += zero
             names, held, zero = names[upto:], [rest], zero + upto
@@ -326,8 +362,8 @@ def encode(docs: DataFrame, model: Model, most: int = 500_000) -> DataFrame:
                 names.append(span[:k])
             i = np.flatnonzero(n)
             held.append(np.stack([a[i] >> 32, (a[i] & low) + (b[i] >> 40) - 1, n[i], b[i] & low], 1))
-            if len(names) > 1 and sum(map(len, held)) > 2_000_000:
-                fold(len(names) - 1)  # the last word may go on
+            if len(names) > 1 and sum(map(len, held)) > 400_000:
+                fold(len(names) - 1)  # the last run may go on
 
         for batch in batches:
             a = pc.fill_null(batch.column(0), -1).to_numpy()
@@ -340,19 +376,16 @@ def encode(docs: DataFrame, model: Model, most: int = 500_000) -> DataFrame:
                     take(a[lo:hi], b[lo:hi], n[lo:hi], s.slice(lo, hi - lo))
                     continue
                 fold(len(names))
-                of = known.__getitem__
                 out = [b"".join(map(of, words_of(t))) for t in s.slice(lo, hi - lo).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(4).slice(lo, hi - lo), ids], names=["doc_id", "ids"])
 
-    return stream_edges(new_words(docs, model.longest, most), table, model.longest).mapInArrow(run, "doc_id long, ids array<int>")
+    return stream_edges(new_runs(docs, model, most), table, model.longest).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decoded(column: str, model: Model):
-    """A pandas UDF of id arrays: the text they stand for (ids over all bytes, invalid UTF-8 as U+FFFD)."""
-    from pyspark.sql.functions import pandas_udf
-
+def decoder(model: Model):
+    """A function of one list of ids: the text they stand for (ids over all bytes, invalid UTF-8 as U+FFFD)."""
     size = max([i for _, i, _ in model.pieces] + (model.byte_ids or [0])) + 1
     table: list[bytes] = [b" \xe2\x81\x87 "] * size
     for p, i, _ in model.pieces:
@@ -360,8 +393,20 @@ def decoded(column: str, model: Model):
     for b, i in enumerate(model.byte_ids or []):
         table[i] = bytes([b])
 
+    def run(ids: list[int]) -> str:
+        return b"".join([table[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+
+    return run
+
+
+def decoded(column: str, model: Model):
+    """A pandas UDF of id arrays: the texts they stand for; null for null."""
+    from pyspark.sql.functions import pandas_udf
+
+    text = decoder(model)
+
     @pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
-        return pd.Series([b"".join([table[i] for i in x.tolist()]).decode("utf-8", "replace").removeprefix(" ") if x is not None else None for x in ids])
+        return pd.Series([text(x.tolist()) if x is not None else None for x in ids])
 
     return run(column)

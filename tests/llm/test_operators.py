@@ -68,6 +68,16 @@ def test_sentencepiece_equals_library(which, model, request):
     assert sorted((r["doc_id"], r["t"]) for r in got) == sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
 
 
+def test_sentencepiece_forgets(documents, model, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "WORDS", 200)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    long = documents.filter("n_chars > 2000").unionByName(documents.sparkSession.createDataFrame([(-1, "ab" * 3000 + "日本語𝄞" * 300, "", "", 1)], documents.schema))
+    got = pieces.encode(long, model, most=100).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == sorted((r["doc_id"], sp.encode(r["text"])) for r in long.collect())
+
+
 def test_sentencepiece_empty(empty, model):
     assert pieces.encode(empty, model).count() == 0
 
