@@ -20,8 +20,8 @@ lattice is built a chunk of starts at a time, and they are merged with a heap.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,7 @@ from .common import texts_of
 BLANK = "▁"
 CHUNK = 240
 WORDS = 200_000
+NUMBERS = (1 << 23) - 1
 _NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
@@ -57,22 +58,35 @@ class Model:
         rank[ids] = np.arange(len(ids), dtype=np.int32)
         return rank, ids
 
-    def runs(self) -> re.Pattern:
-        """Matches a word's runs that no piece goes past: letters of two runs never stand side by side in a piece."""
-        head: dict[str, str] = {}
-
-        def find(c: str) -> str:
-            while head.setdefault(c, c) != c:
-                c = head[c]
-            return c
+    def cutter(self):
+        """A function of words: the runs of all of them, and where each word's runs end.
+
+        A word is cut between two letters that stand side by side in no piece, so that no piece goes past a cut.
+        """
+        pairs = sorted({p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)})
+        letters = sorted(set("".join(pairs)))
+        code = np.zeros(0x110000, np.int16)
+        code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        together = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for x, y in pairs:
+            together[code[ord(x)], code[ord(y)]] = True
+
+        def cut(words: list[str]) -> tuple[list[str], list[int]]:
+            text = "".join(words)
+            if not text:
+                return [], [0] * len(words)
+            c = code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+            last = np.append(~together[c[:-1], c[1:]], True)  # the last letter of a run
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            last[ends[ends > 0] - 1] = True
+            bounds = np.flatnonzero(last) + 1
+            flat, lo = [], 0
+            for hi in bounds.tolist():
+                flat.append(text[lo:hi])
+                lo = hi
+            return flat, np.searchsorted(bounds, ends, "right").tolist()
 
-        side_by_side = {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)}
-        for a, b in side_by_side:
-            head[find(a)] = find(b)
-        kinds = defaultdict(list)
-        for c in sorted(head):
-            kinds[find(c)].append(c)
-        return re.compile("|".join(["[" + "".join(map(re.escape, k)) + "]+" for _, k in sorted(kinds.items())] + [r"[\s\S]"]))
+        return cut
 
 
 def load(path: str) -> Model:
@@ -265,10 +279,10 @@ def words_of(text: str) -> list[str]:
 def new_runs(docs: DataFrame, model: Model, most: int) -> DataFrame:
     """Rows of one stream: each slice's runs that its task has not met (a, starts, s), then its texts (a null, s).
 
-    a: the run's number and the place of s in it; s: up to `starts` of its letters, and as many more as a piece may
-    reach. After `most` runs a task forgets them and numbers from 0 again, so that its memory is bounded.
+    a: the run's number, shifted by 40 bits; s: up to `starts` of its letters, and as many more as a piece may
+    reach. After `most` runs a task forgets them, which a row with a = -1 tells, so that its memory is bounded.
     """
-    longest, cut = model.longest, model.runs()
+    longest, cut = model.longest, model.cutter()
     schema = pa.schema([("a", pa.int64()), ("starts", pa.int32()), ("s", pa.string()), ("doc_id", pa.int64())])
 
     def run(batches):
@@ -277,18 +291,19 @@ def new_runs(docs: DataFrame, model: Model, most: int) -> DataFrame:
         count = 0
         for batch in batches:
             for part, texts in texts_of(batch, "text", 1 << 20):
+                a, starts, s = [], [], []
                 if len(seen) >= most:
-                    seen, met, count = set(), set(), 0
+                    seen, met = set(), set()
+                    a, starts, s = [-1], [None], [None]
                 if len(met) >= WORDS:
                     met = set()
                 words = dict.fromkeys(w for t in texts for w in words_of(t) if w not in met)
                 met.update(words)
-                fresh = [u for u in dict.fromkeys(u for w in words for u in cut.findall(BLANK + w)) if u not in seen]
+                fresh = [u for u in dict.fromkeys(cut([BLANK + w for w in words])[0]) if u not in seen]
                 seen.update(fresh)
-                a, starts, s = [], [], []
                 for number, w in enumerate(fresh, count):
                     for base in range(0, len(w), CHUNK):
-                        a.append(number << 32 | base)
+                        a.append((number & NUMBERS) << 40)
                         starts.append(min(CHUNK, len(w) - base))
                         s.append(w[base : base + CHUNK + longest - 1])
                 count += len(fresh)
@@ -300,12 +315,92 @@ def new_runs(docs: DataFrame, model: Model, most: int) -> DataFrame:
 
 
 def stream_edges(stream: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """The lattice of a stream's runs: its rows as they are (b: starts), each run's edges after it (b: start, n, id)."""
+    """The lattice of a stream's runs: its rows as they are, and each run's edges after it (a: with start, n and id)."""
     starts = stream.select("*", F.explode(F.expr("sequence(0, coalesce(starts, 0))")).alias("start"))
     spans = starts.select("*", F.explode(F.expr(f"if(start = 0, array(0), sequence(1, least({longest}, length(s) - start + 1)))")).alias("n"))
     met = spans.withColumn("piece", F.expr("if(n > 0, substring(s, start, n), null)")).join(F.broadcast(table), "piece", "left").filter("n = 0 OR id IS NOT NULL")
-    edge = "shiftleft(cast(start AS long), 40) + shiftleft(cast(n AS long), 32) + id"
-    return met.selectExpr("a", f"if(n = 0, cast(starts AS long), {edge}) AS b", "n", "if(n = 0, s, null) AS s", "doc_id")
+    return met.selectExpr("if(n = 0, a, a + shiftleft(cast(start AS long), 32) + shiftleft(cast(n AS long), 24) + id) AS a", "if(n = 0, s, null) AS s", "doc_id")
+
+
+class Folding:
+    """What a task does with its stream: runs to ids, then texts to the ids of their runs."""
+
+    def __init__(self, model: Model):
+        self.model, self.ranks, self.cut = model, model.ranks(), model.cutter()
+        self.known: dict[str, bytes] = {}  # runs
+        self.words: dict[str, bytes] = {}
+        self.names: list[str] = []  # runs whose edges may not all have come
+        self.held: list[np.ndarray] = []
+        self.n_held = self.base = 0
+        self.zero, self.last = 0, -1  # numbers of names[0] and names[-1]
+
+    def fold(self, upto: int) -> None:
+        if not upto:
+            return
+        e = np.concatenate(self.held) if self.held else np.empty((0, 4), np.int64)
+        e[:, 0] = (e[:, 0] - self.zero) & NUMBERS
+        cut = int(np.searchsorted(e[:, 0], upto))
+        some = self.names[:upto]
+        self.known.update(zip(some, word_ids(some, e[:cut], self.model, self.ranks), strict=True))
+        self.names, self.held, self.n_held = self.names[upto:], [e[cut:]], len(e) - cut
+        self.zero = (self.zero + upto) & NUMBERS
+        self.held[0][:, 0] = (self.held[0][:, 0] - upto + self.zero) & NUMBERS
+
+    def take(self, a: np.ndarray, s: pa.Array) -> None:
+        """Rows of runs (s: letters) and of their edges."""
+        n = a >> 24 & 255
+        opens = np.flatnonzero(n == 0)
+        bases = [self.base]
+        for number, span in zip((a[opens] >> 40).tolist(), s.take(pa.array(opens)).to_pylist(), strict=True):
+            if number == self.last:  # more letters of the same run
+                self.base += CHUNK
+                self.names[-1] += span[:CHUNK]
+            else:
+                if not self.names:
+                    self.zero = number
+                self.base, self.last = 0, number
+                self.names.append(span[:CHUNK])
+            bases.append(self.base)
+        start = (a >> 32 & 255) - 1
+        if any(bases):
+            start += np.repeat(bases, np.diff([0, *opens.tolist(), len(a)]))
+        i = np.flatnonzero(n)
+        self.held.append(np.stack([a[i] >> 40, start[i], n[i], a[i] & 0xFFFFFF], 1))
+        self.n_held += len(i)
+        if self.n_held > 400_000:
+            self.fold(len(self.names) - 1)  # the last run may go on
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        words_of_texts = [words_of(t) for t in texts]
+        if len(self.words) >= WORDS:
+            self.words = {}
+        words = self.words
+        new = list(dict.fromkeys(w for ws in words_of_texts for w in ws if w not in words))
+        runs, ends = self.cut([BLANK + w for w in new])
+        got, lo = [self.known[r] for r in runs], 0
+        for w, hi in zip(new, ends, strict=True):
+            words[w] = got[lo] if hi == lo + 1 else b"".join(got[lo:hi])
+            lo = hi
+        return [b"".join(map(words.__getitem__, ws)) for ws in words_of_texts]
+
+    def __call__(self, batches):
+        for batch in batches:
+            a, s = pc.fill_null(batch.column(0), -2).to_numpy(), batch.column(1)
+            kind = np.minimum(a, 0)
+            cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(a)] if len(a) else []
+            for lo, hi in itertools.pairwise(cuts):
+                if kind[lo] == 0:
+                    self.take(a[lo:hi], s.slice(lo, hi - lo))
+                    continue
+                self.fold(len(self.names))
+                self.last = -1
+                if kind[lo] == -1:
+                    self.known = {}
+                    continue
+                out = self.ids(s.slice(lo, hi - lo).to_pylist())
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), ids], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, model: Model, most: int = 300_000) -> DataFrame:
@@ -318,70 +413,10 @@ def encode(docs: DataFrame, model: Model, most: int = 300_000) -> DataFrame:
     """
     if not model.bpe:
         raise ValueError("unigram models: use viterbi() on lattice()")
+    if model.longest > 255 or max(i for _, i, _ in model.pieces) >> 24:
+        raise ValueError("pieces of over 255 letters, or over 2 ** 24 of them")
     table = piece_table(docs.sparkSession, model).select("piece", "id")
-    low, ranks, cut = (1 << 32) - 1, model.ranks(), model.runs()
-
-    def run(batches):
-        known: dict[str, bytes] = {}
-
-        class Words(dict):
-            """word -> bytes of its ids, put together from its runs; forgets when there are many."""
-
-            def __missing__(self, w: str) -> bytes:
-                if len(self) >= WORDS:
-                    self.clear()
-                got = self[w] = b"".join([known[u] for u in cut.findall(BLANK + w)])
-                return got
-
-        of = Words().__getitem__
-        names: list[str] = []
-        held: list[np.ndarray] = []
-        zero = 0  # the number of names[0]
-
-        def fold(upto: int) -> None:
-            nonlocal names, held, zero
-            e = np.concatenate(held) if held else np.empty((0, 4), np.int64)
-            e[:, 0] -= zero
-            cut = int(np.searchsorted(e[:, 0], upto))
-            known.update(zip(names[:upto], word_ids(names[:upto], e[:cut], model, ranks), strict=True))
-            rest = e[cut:]
-            rest[:, 0] += zero
-            names, held, zero = names[upto:], [rest], zero + upto
-
-        def take(a: np.ndarray, b: np.ndarray, n: np.ndarray, s: pa.Array) -> None:
-            nonlocal zero
-            opens = np.flatnonzero(n == 0)
-            for x, k, span in zip(a[opens].tolist(), b[opens].tolist(), s.take(pa.array(opens)).to_pylist(), strict=True):
-                if x & low:
-                    names[-1] += span[:k]
-                    continue
-                if x == 0:
-                    known.clear()
-                if not names:
-                    zero = x >> 32
-                names.append(span[:k])
-            i = np.flatnonzero(n)
-            held.append(np.stack([a[i] >> 32, (a[i] & low) + (b[i] >> 40) - 1, n[i], b[i] & low], 1))
-            if len(names) > 1 and sum(map(len, held)) > 400_000:
-                fold(len(names) - 1)  # the last run may go on
-
-        for batch in batches:
-            a = pc.fill_null(batch.column(0), -1).to_numpy()
-            b = pc.fill_null(batch.column(1), 0).to_numpy()
-            n, s = batch.column(2).to_numpy().astype(np.int64), batch.column(3)
-            is_text = a < 0
-            cuts = [0, *(np.flatnonzero(np.diff(is_text)) + 1).tolist(), len(a)] if len(a) else []
-            for lo, hi in zip(cuts, cuts[1:]):  # noqa: RUF007
-                if not is_text[lo]:
-                    take(a[lo:hi], b[lo:hi], n[lo:hi], s.slice(lo, hi - lo))
-                    continue
-                fold(len(names))
-                out = [b"".join(map(of, words_of(t))) for t in s.slice(lo, hi - lo).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(4).slice(lo, hi - lo), ids], names=["doc_id", "ids"])
-
-    return stream_edges(new_runs(docs, model, most), table, model.longest).mapInArrow(run, "doc_id long, ids array<int>")
+    return stream_edges(new_runs(docs, model, most), table, model.longest).mapInArrow(lambda batches: Folding(model)(batches), "doc_id long, ids array<int>")
 
 
 def decoder(model: Model):
