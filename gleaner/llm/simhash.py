@@ -30,6 +30,7 @@ from .components import connected_components
 BITS = 64
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 2048
+FULL = 32  # links a member of a run of equal keys, up to which all of them are looked at
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -184,26 +185,43 @@ def linked(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def near_pairs(x: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """All links within a run, as places in it; None if there are over `most`. Compared in blocks."""
-    us, vs, held = [], [], 0
+def first_met(u: np.ndarray, v: np.ndarray, k: int, masks: np.ndarray) -> np.ndarray:
+    """Which pairs have no key before the k-th in common."""
+    differ, first = u ^ v, np.ones(len(u), bool)
+    for m in masks[:k]:
+        first &= (differ & m) != 0
+    return first
+
+
+def near_pairs(x: np.ndarray, radius: int, most: int, k: int, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The links within a run of the k-th key that no earlier key has, as places in it; None if there are over `most`."""
+    us, vs, held, raw = [], [], 0, 0
     for a in range(0, len(x), 64):
         for b in range(a, len(x), 65536):
             i, j = np.nonzero(np.bitwise_count(x[a : a + 64][:, None] ^ x[b : b + 65536][None, :]) <= radius)
             later = j + b > i + a
-            us.append(i[later] + a)
-            vs.append(j[later] + b)
-            held += int(later.sum())
+            i, j = i[later] + a, j[later] + b
+            raw += len(i)
+            if raw > 16 * most:
+                return None
+            new = first_met(x[i], x[j], k, masks)
+            us.append(i[new])
+            vs.append(j[new])
+            held += int(new.sum())
             if held > most:
                 return None
     return np.concatenate(us), np.concatenate(vs)
 
 
-def run_links(key: np.ndarray, x: np.ndarray, radius: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys. Runs of few members are compared at once for all runs, shifted step by step."""
+def run_links(key: np.ndarray, x: np.ndarray, radius: int, which: np.ndarray | None = None, masks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys. Runs of few members are compared at once for all runs, shifted step by step.
+
+    which: the number of each row's key, where all links are wanted, each from the first key that has both its ends.
+    """
     n = len(key)
     if n < 2:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    every = which is not None
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [n]]))
     us, vs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
@@ -212,11 +230,14 @@ def run_links(key: np.ndarray, x: np.ndarray, radius: int, every: bool = False)
     for d in range(1, int(min(few, size.max()))):
         i = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
         i = i[np.bitwise_count(x[i] ^ x[i + d]) <= radius]
+        for k in np.unique(which[i]).tolist() if every else []:
+            of = np.flatnonzero(which[i] == k)
+            i = np.delete(i, of[~first_met(x[i[of]], x[i[of] + d], k, masks)])
         us.append(x[i])
         vs.append(x[i + d])
     for a, m in zip(first[size > few].tolist(), size[size > few].tolist(), strict=True):
         part = x[a : a + m]
-        u, v = (near_pairs(part, radius, 4 * m) if every else None) or linked(part, radius)
+        u, v = (near_pairs(part, radius, FULL * m, int(which[a]), masks) if every else None) or linked(part, radius)
         us.append(part[u])
         vs.append(part[v])
     return np.concatenate(us), np.concatenate(vs)
@@ -225,13 +246,19 @@ def run_links(key: np.ndarray, x: np.ndarray, radius: int, every: bool = False)
 def links(fps: DataFrame, radius: int, every: bool = False) -> DataFrame:
     """u, v: links between different fingerprints that span the same components as all links within radius.
 
-    every: all links, but for runs of over 4 links a member, where each member's link to the first it hangs on does.
+    every: all links, but for runs with over FULL links a member that no earlier key has, where each member's link to
+    the first it hangs on does. Elsewhere a link comes from the first key that both its ends have, so it is one row,
+    however many keys they share.
     """
-    keys = []
+    keys, masks = [], []
     for i, (bits, t) in enumerate(plan(fps, radius)):
         for k, m in enumerate(_blanked(bits, t)):
             keys.append(F.xxhash64(F.lit(i * 100_000 + k), F.col("fp").bitwiseAND(F.lit(m))))
-    probes = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+            masks.append(m)
+    masks = np.array(masks, np.int64).view(np.uint64)
+    probes = fps.select("fp", F.posexplode(F.array(*keys)).alias("k", "key"))
+    if not every:
+        probes = probes.select("fp", F.lit(0).alias("k"), "key")
     sizes = probes.groupBy("key").agg(F.count("*").alias("n"))
     total = fps.count() * len(keys)
     hot = F.broadcast(sizes.filter(F.col("n") > max(BLOCK, total // 10_000)))  # under 10,000 rows
@@ -239,24 +266,25 @@ def links(fps: DataFrame, radius: int, every: bool = False) -> DataFrame:
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(j, F.col("mine")), F.greatest(j, F.col("mine"))))
     dealt = probes.join(hot, "key", "left").withColumn("blocks", blocks).withColumn("mine", mine)
-    dealt = dealt.select("fp", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array("key"))).alias("key"))
+    dealt = dealt.select("fp", "k", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array("key"))).alias("key"))
     session = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        held_k, held_x = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held_k, held_x, held_w = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32)
         for b in batches:
             k = np.concatenate([held_k, b.column(0).to_numpy()])
             x = np.concatenate([held_x, b.column(1).to_numpy().view(np.uint64)])
+            w = np.concatenate([held_w, b.column(2).to_numpy()])
             cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
-            held_k, held_x = k[cut:], x[cut:]
+            held_k, held_x, held_w = k[cut:], x[cut:], w[cut:]
             if cut:
-                yield out(*run_links(k[:cut], x[:cut], radius, every))
-        yield out(*run_links(held_k, held_x, radius, every))
+                yield out(*run_links(k[:cut], x[:cut], radius, w[:cut] if every else None, masks))
+        yield out(*run_links(held_k, held_x, radius, held_w if every else None, masks))
 
     def out(u, v):
         return pa.RecordBatch.from_arrays([pa.array(u.astype(np.uint64).view(np.int64)), pa.array(v.astype(np.uint64).view(np.int64))], names=["u", "v"])
 
-    rows = dealt.select("key", "fp").repartition(max(session, plan_bytes(fps) * len(keys) // (64 << 20)), "key").sortWithinPartitions("key", "fp")
+    rows = dealt.select("key", "fp", "k").repartition(max(session, plan_bytes(fps) * len(keys) // (64 << 20)), "key").sortWithinPartitions("key", "fp")
     return rows.mapInArrow(run, "u long, v long").filter("u <> v")
 
 
@@ -292,8 +320,8 @@ def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int
     (of the same shingles) with at most `radius` bits apart: on the test tables those of 97 % of the pairs at least 0.8
     alike, and of 99.9 % of those at least 0.9 alike. Each candidate pair is verified on both texts' shingles, and the verified pairs' components are the groups, of which the least
     doc_id stays. Equal texts are one node, of their least doc_id; texts with one fingerprint are verified against the
-    first of them. In runs where fingerprints have over 4 neighbours each (large groups of near copies), a member is
-    verified against the fingerprint that it hangs on, not against each other member. Rows that share a doc_id and
+    first of them. In runs where fingerprints have over FULL neighbours each that they meet first there (large groups of
+    near copies), a member is verified against the fingerprint that it hangs on, not against each other member. Rows that share a doc_id and
     text are one document; rows without a doc_id stay.
     """
     v = F.xxhash64(F.coalesce("text", F.lit("")))
