@@ -3,10 +3,13 @@
 A document is a sequence of line ids (128-bit hashes). Prefix doubling names each position's next 2^k lines by the
 names of its two halves; as names are hashes of what they stand for, they are the same everywhere and each round is
 local. A position's suffix is then known by its shortest prefix of at least `min_words` words (two overlapping doubled
-names). The suffix array is the table of these suffixes sorted by name: suffixes whose longest common prefix reaches
-that depth stand side by side, as one LCP interval. In an interval the copy at the least (doc_id, line) stays, and
-every other copy's lines are deleted. The intervals' runs overlap line by line, so what goes is just the maximal
-repeated runs of at least `min_words` words, their first copies left.
+names), and by each longer one that ends before the shortest prefix of the next line with words does, or at the
+document's end where that line has none: under `min_words` words more, and over a document no more rows than lines.
+The suffix array is the table of these prefixes sorted by name: equal ones stand side by side, as one LCP interval. In
+an interval the copy at the least (doc_id, line) stays, and every other copy's lines are deleted. The last line from
+which a repeated run still has `min_words` words has a prefix that ends where the run does, and the lines before it
+overlap with that, so what goes is just the maximal repeated runs of at least `min_words` words, their first copies
+left. A run begins at a line with words.
 
 Intervals of any size are aggregated with partial sums (first copy and size), and the size lets hot ones be met by a
 bounded broadcast. Null texts stay null; empty lines belong to runs but hold no words. Rows with the same doc_id and
@@ -34,7 +37,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def suffix_names(ids: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, depth in lines and name of every suffix of at least min_words words.
+    """Place, depth in lines and name of every suffix's prefixes, from min_words words to the end of what the next suffix tells.
 
     ids: (lines, 2) hashes of documents laid end to end; first: where each document begins.
     """
@@ -45,7 +48,13 @@ def suffix_names(ids: np.ndarray, words: np.ndarray, first: np.ndarray, min_word
     held = np.concatenate([[0], np.cumsum(words)])
     stop = np.searchsorted(held, held[:-1] + min_words, "left")
     place = np.flatnonzero((stop <= end_of) & (words > 0))
-    depth = stop[place] - place
+    worded = np.append(np.flatnonzero(words > 0), n)
+    after = worded[np.searchsorted(worded, place, "right")]  # the next line with words
+    last = np.minimum(np.append(stop, n + 1)[after] - 1, end_of[place])
+    ends = np.maximum(last - stop[place], 0) + 1
+    longer = np.arange(ends.sum()) - np.repeat(np.cumsum(ends) - ends, ends)
+    place = np.repeat(place, ends)
+    depth = stop[place] - place + longer
     name = np.zeros((len(place), 2), np.uint64)
     level, k = ids, 0
     while True:
@@ -62,7 +71,7 @@ def suffix_names(ids: np.ndarray, words: np.ndarray, first: np.ndarray, min_word
 
 
 def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, version (hash of the text), line, depth, and the 128-bit name of each suffix's prefix."""
+    """doc_id, version (hash of the text), line, depth, and the 128-bit name of each prefix of a suffix."""
 
     def run(batches):
         import xxhash

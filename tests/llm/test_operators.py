@@ -142,6 +142,31 @@ def test_line_dedup_keeps_columns_and_first_copies(odd, empty):
     assert line_dedup.deduped(empty).count() == 0
 
 
+def brute_maximal(rows, min_words):
+    """Every run of at least min_words words, however long, that begins at a line with words and at an earlier place too is deleted."""
+    lines = {(i, version(t)): t.split("\n") for i, t in rows if t is not None}
+    seen, gone = {}, defaultdict(set)
+    for doc, ls in sorted(lines.items()):
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1) if ls[a].encode().split() else []:
+                if sum(len(x.encode().split()) for x in ls[a:b]) >= min_words and seen.setdefault(tuple(ls[a:b]), (doc, a)) != (doc, a):
+                    gone[doc] |= set(range(a, b))
+    return sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, version(t)]) if t is not None else "") for i, t in rows)
+
+
+def test_line_dedup_deletes_maximal_runs(spark, odd, documents):
+    tail = "\n".join([" ".join(f"a{i}" for i in range(53)), "eight words that are left over here now", "one", "", ""])
+    some = [(1, "first\n" + tail + "\nend"), (2, "second\n" + tail), (3, tail + "\nend"), (4, tail + "\nother"), (5, tail), (6, "x\n" + tail.replace("one", "two")), (7, tail.replace("one", "two") + "\ny")]
+    rng = np.random.default_rng(2)
+    mixed = [(i, "\n".join(" ".join(f"w{k}" for _ in range(k % 4)) for k in rng.integers(0, 5, 40).tolist())) for i in range(30)]
+    made = [(spark.createDataFrame(rows, "doc_id long, text string"), least) for rows, least in ((some, 50), (mixed, 9))]
+    for docs, least in [*made, (odd, 5), (documents, 50), (documents, 12)]:
+        got = line_dedup.deduped(docs, least)
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        assert collected(got.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text") == brute_maximal(rows, least)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduped(made[0][0]).collect()}[3] == ""
+
+
 # ---- 3
 
 
