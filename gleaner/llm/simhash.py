@@ -313,39 +313,143 @@ def shingles(docs: DataFrame, width: int) -> DataFrame:
     return on_texts(docs.select("doc_id", "text"), "text", "doc_id long, set array<long>", run)
 
 
+def hashes(text: str, width: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each shingle of `width` words of the text, as in fingerprint(); none of a text without words."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").translate(_LOW).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - width + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    s, e = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(joined[a:b], 42) for a, b in zip(s, e, strict=True)]), ">u8").astype(np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """fingerprint() of a text of these hashes."""
+    if len(h) < 2:
+        return int(h[0]) if len(h) else 0
+    count = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 65536):
+        count += np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
+
+
+def _least(similarity: float, n):
+    """The fewest shingles that a set of n shares with one that is like it."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def met_in_runs(key: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.ndarray, similarity: float):
+    """Pairs (a, b, their sizes) of nodes of different labels in runs of equal keys, of sizes that may be alike, in blocks."""
+
+    def fit(i, j):
+        x, y = size[i], size[j]
+        keep = (label[i] != label[j]) & (node[i] != node[j]) & (np.minimum(x, y) >= _least(similarity, np.maximum(x, y)))
+        i, j = i[keep], j[keep]
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        return node[i], node[j], size[i], size[j]
+
+    n = len(key)
+    if n < 2:
+        return
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.concatenate([first, [n]]))
+    small = np.repeat(count <= 32, count)
+    for d in range(1, int(min(32, count.max()))):
+        i = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
+        yield fit(i, i + d)
+    for start, m in zip(first[count > 32].tolist(), count[count > 32].tolist(), strict=True):
+        if (label[start : start + m] == label[start]).all():
+            continue
+        for at in range(0, m, 64):
+            for b in range(at, m, 16384):
+                i, j = np.meshgrid(np.arange(at, min(at + 64, m)), np.arange(b, min(b + 16384, m)), indexing="ij")
+                later = j > i
+                yield fit(i[later] + start, j[later] + start)
+
+
+def candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of different labels that can be at least `similarity` alike, of rows doc_id, size, prefix, label (a written table).
+
+    A prefix is a set's least size - ceil(similarity * size) + 1 hashes. Sets that are like one another have at least one
+    of them in common, so equal ones meet in sorted runs. A pair that shares c of them shares at most
+    c + ceil(similarity * the larger size) - 1 in all; one for which that is too few goes. Nothing is missed or capped.
+    """
+    rows = prefixes.select(F.explode("prefix").alias("key"), "doc_id", "size", "label")
+    session = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(max(session, plan_bytes(prefixes) // (16 << 20)), "key").sortWithinPartitions("key")
+    names = ["a", "b", "m", "n"]
+
+    def out(*held):
+        for cols in met_in_runs(*held, similarity):
+            if len(cols[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    def run(batches):
+        held = [np.empty(0, np.int64) for _ in range(4)]
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            cut = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+            if cut:
+                yield from out(*[h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        yield from out(*held)
+
+    met = dealt.mapInArrow(run, "a long, b long, m long, n long").groupBy(*names).agg(F.count("*").alias("c"))
+    share = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-9)
+    most = F.col("c") + F.ceil(F.lit(similarity) * F.greatest("m", "n") - 1e-9) - 1
+    return met.filter(most >= share).select("a", "b").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v: the pairs (a, b; a written table) whose texts are at least `similarity` alike, or both without words."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(shingles(docs.join(some, "doc_id", "left_semi"), width).distinct())
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    met = F.size(F.array_intersect("x", "y"))
+    like = met / F.greatest(F.lit(1), F.size("x") + F.size("y") - met)
+    return both.filter((like >= similarity) | (F.size("x") + F.size("y") == 0)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 10) -> DataFrame:
     """doc_id, copy_of: each document that is let go, and the kept one that it is like.
 
-    Likeness is the Jaccard similarity of the sets of `width`-word shingles. Candidates are fingerprints
-    (of the same shingles) with at most `radius` bits apart: on the test tables those of 97 % of the pairs at least 0.8
-    alike, and of 99.9 % of those at least 0.9 alike. Each candidate pair is verified on both texts' shingles, and the verified pairs' components are the groups, of which the least
-    doc_id stays. Equal texts are one node, of their least doc_id; texts with one fingerprint are verified against the
-    first of them. In runs where fingerprints have over FULL neighbours each that they meet first there (large groups of
-    near copies), a member is verified against the fingerprint that it hangs on, not against each other member. Rows that share a doc_id and
+    Likeness is the Jaccard similarity of the sets of `width`-word shingles; the components of all pairs at least
+    `similarity` alike are the groups, of which the least doc_id stays. Two passes find them. Texts with fingerprints (of
+    the same shingles) at most `radius` bits apart are verified first, which joins most of each group cheaply, but not
+    every pair. All pairs that are then not in one group yet, and may be alike by what their sets have in common
+    (candidates()), are verified next, so no pair is missed. Equal texts are one node, of their least doc_id. Rows that share a doc_id and
     text are one document; rows without a doc_id stay.
     """
     v = F.xxhash64(F.coalesce("text", F.lit("")))
 
     def run(part, texts):
-        fp = np.array([fingerprint(t, width) for t in texts], np.uint64)
-        return {"doc_id": part.column(0), "v": part.column(1), "fp": fp.view(np.int64)}
-
-    rows = written(on_texts(docs.select("doc_id", v.alias("v"), "text").filter(F.col("doc_id").isNotNull()), "text", "doc_id long, v long, fp long", run))
+        fp, size, prefix = [], [], []
+        for t in texts:
+            h = hashes(t, width)
+            fp.append(majority(h))
+            h = np.unique(h)
+            size.append(len(h))
+            # texts without words are like one another: they meet at a key of their own
+            prefix.append(h[: len(h) - int(_least(similarity, len(h))) + 1].view(np.int64) if len(h) else np.zeros(1, np.int64))
+        return {"doc_id": part.column(0), "v": part.column(1), "fp": np.array(fp, np.uint64).view(np.int64), "size": size, "prefix": prefix}
+
+    rows = written(on_texts(docs.select("doc_id", v.alias("v"), "text").filter(F.col("doc_id").isNotNull()), "text", "doc_id long, v long, fp long, size long, prefix array<long>", run))
     nodes = written(rows.groupBy("v", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    gone = join_hot(rows, nodes.select("v", F.col("doc_id").alias("copy_of"), "n"), ["v"], "n").filter("doc_id <> copy_of").select("doc_id", "copy_of")
+    gone = join_hot(rows.select("doc_id", "v"), nodes.select("v", F.col("doc_id").alias("copy_of"), "n"), ["v"], "n").filter("doc_id <> copy_of").select("doc_id", "copy_of")
     prints = written(nodes.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
     near = written(links(prints.select("fp"), radius, every=True).distinct())
     head = prints.select("fp", "head")
     pairs = near.join(head.toDF("u", "a"), "u").join(head.toDF("v", "b"), "v").select("a", "b")
     same = nodes.join(prints.filter("n > 1").select("fp", "head"), "fp").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    pairs = written(pairs.unionByName(same).distinct())
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingles(docs.join(some, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    met = F.size(F.array_intersect("x", "y"))
-    like = met / F.greatest(F.lit(1), F.size("x") + F.size("y") - met)
-    verified = both.filter((like >= similarity) | (F.size("x") + F.size("y") == 0)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = written(connected_components(verified).filter("node <> root"))
+    first = written(verified(docs, written(pairs.unionByName(same).distinct()), width, similarity))
+    labels = nodes.select("doc_id", "v").join(connected_components(first).toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    prefixes = written(rows.join(labels, ["doc_id", "v"]).select("doc_id", "size", "prefix", "label"))
+    rest = verified(docs, written(candidates(prefixes, similarity)), width, similarity)
+    roots = written(connected_components(first.unionByName(rest)).filter("node <> root"))
     # copies of a text go with the text
     of_texts = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("copy_of"))
     return gone.unionByName(of_texts)

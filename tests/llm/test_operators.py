@@ -370,6 +370,40 @@ def test_copies_are_like_what_stays(which, request):
     assert len(missed) <= 0.25 * len(gone)
 
 
+def brute_gone(rows, similarity=0.8):
+    """Members of the components of all pairs that are alike, but for each one's least doc_id."""
+    sets = []
+    for i, t in sorted(rows):
+        w = simhash_words(t)
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i for i in root if find(i) != i}
+
+
+def test_copies_of_a_large_group_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(200):
+        t = list(base)
+        for k in rng.integers(0, 160, rng.integers(2, 7)).tolist():
+            t[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(t)))
+    df = written(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in simhash.copies(df).collect()} == brute_gone(rows)
+
+
 def simhash_words(text):
     import re
 
