@@ -404,6 +404,13 @@ def test_copies_of_a_large_group_are_all_found(spark):
     assert {r["doc_id"] for r in simhash.copies(df).collect()} == brute_gone(rows)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_copies_leave_no_pair_alike(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    assert {r["doc_id"] for r in simhash.copies(docs).collect()} == brute_gone(rows)
+
+
 def simhash_words(text):
     import re
 
