@@ -411,6 +411,15 @@ def test_copies_leave_no_pair_alike(spark, sf):
     assert {r["doc_id"] for r in simhash.copies(docs).collect()} == brute_gone(rows)
 
 
+def test_copies_of_one_fingerprint_but_another_head(spark):
+    common = "x " * 500
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, common + a), (2, common + b), (3, common + b + " end"), (4, common + a + " end")]
+    assert len({brute_fingerprint(t, 5) for _, t in rows}) == 1
+    got = {r["doc_id"]: r["copy_of"] for r in simhash.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 2, 4: 1}
+
+
 def simhash_words(text):
     import re
 
