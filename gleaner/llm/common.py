@@ -22,11 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset (tests on one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "gleaner-work")
-    return f"{base.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
+    """A new folder below shared_folder(). Whoever owns that folder clears it: results may be read after a query returns."""
+    return f"{shared_folder(spark)}/gleaner-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:
@@ -111,6 +108,30 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> Data
     return a.unionByName(b)
 
 
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
+    """Inner join with a side of one large row a key: keys with over max(1000, a `most`-th) of the left rows are salted.
+
+    A salted key's left rows are dealt over as many salts as it takes to come below that bound, and the right row is
+    repeated for each, so that no task gets all rows of a key and nothing large is broadcast. What is broadcast are the
+    salted keys: fewer than `most`. left is read twice and must be cheap to read (a written table).
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot, least = split_hot(counts, keys, "_n", most)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    a = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("_salts")
+    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return a.join(b, [*keys, "_salt"]).drop("_salt")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, as set for the session or its context; a temporary folder where it is unset and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (base or os.path.join(tempfile.gettempdir(), "gleaner-work")).rstrip("/")
+
+
 def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
     """At most n - 1 ascending bounds that cut the column's values in about equal ranges."""
     if n <= 1:

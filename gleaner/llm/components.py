@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
+
+#: Edges up to which a step joins plainly: no key can have more rows than that.
+FEW = 1_000_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,18 +21,21 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Each step links a node's larger (large-star) or smaller (small-star) neighbours to the least of them; both shrink
     every component to a star round its least node in O(log n) steps. The least neighbour is an aggregate with partial
-    sums, so a node with many neighbours costs one row a task, and its neighbours are met by a join that adaptive
-    execution may split.
+    sums, so a node with many neighbours costs one row a task. Beyond FEW edges, nodes with many neighbours meet theirs
+    by a bounded broadcast, so that a hub's edges stay dealt over all tasks.
     """
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = _state(e)
+
+    def met(rows: DataFrame, least: DataFrame) -> DataFrame:
+        return rows.join(least.drop("n"), "u") if before[0] <= FEW else join_hot(rows, written(least), ["u"], "n")
+
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = written(met(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = met(large, least).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         e = written(small.filter("u <> v").distinct())
         after = _state(e)
         if after == before:

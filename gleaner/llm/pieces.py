@@ -10,11 +10,14 @@ No text and no edge is exchanged. Edges are grouped by run and folded into the r
   Viterbi gives other ids than the library. The fold is that of merges instead: over the same edges, the adjacent pair
   whose edge has the best score is joined, the leftmost of equals first, until no edge joins two neighbours.
 
-Characters without an edge become the ids of their UTF-8 bytes, or the unknown id. Each document's ids are those of
-its words in order. Decoding looks up each id's bytes, puts them together, and restores blanks.
-
-Null and empty texts have no ids. Rows that share a doc_id are encoded one by one. Very long words stay whole: their
-lattice is built a chunk of starts at a time, and they are merged with a heap.
+Characters without an edge become the ids of their UTF-8 bytes, or the unknown id (unigram models: always that). Each
+document's ids are those of its words in order. Decoding looks up each id's bytes, puts them together, and restores
+blanks.
+
+Null and empty texts have no ids. Rows that share a doc_id, and repeated rows, are encoded one by one. Ties go to the
+leftmost pair (merges) or the shorter last piece (Viterbi). Very long texts are read a slice of texts at a time, and
+very long words stay whole: their lattice is built a chunk of starts at a time, and they are merged with a heap. An
+empty table gives no rows. Of the columns only doc_id and text are read, so others, of whatever name, do not matter.
 """
 
 from __future__ import annotations
@@ -25,17 +28,16 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import join_hot, texts_of, written
 
 BLANK = "▁"
 CHUNK = 240
-WORDS = 200_000
+WORDS = 4 << 20  # bytes of words that a task remembers
 NUMBERS = (1 << 23) - 1
 _NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -276,11 +278,16 @@ def words_of(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _size(words) -> int:
+    """Bytes that a remembered word costs, about: its letters and what Python keeps beside them."""
+    return sum(map(len, words)) + 100 * len(words)
+
+
 def new_runs(docs: DataFrame, model: Model, most: int) -> DataFrame:
     """Rows of one stream: each slice's runs that its task has not met (a, starts, s), then its texts (a null, s).
 
     a: the run's number, shifted by 40 bits; s: up to `starts` of its letters, and as many more as a piece may
-    reach. After `most` runs a task forgets them, which a row with a = -1 tells, so that its memory is bounded.
+    reach. After `most` bytes of runs a task forgets them, which a row with a = -1 tells, so that its memory is bounded.
     """
     longest, cut = model.longest, model.cutter()
     schema = pa.schema([("a", pa.int64()), ("starts", pa.int32()), ("s", pa.string()), ("doc_id", pa.int64())])
@@ -288,19 +295,21 @@ def new_runs(docs: DataFrame, model: Model, most: int) -> DataFrame:
     def run(batches):
         seen: set[str] = set()
         met: set[str] = set()
-        count = 0
+        count = held = held_words = 0
         for batch in batches:
             for part, texts in texts_of(batch, "text", 1 << 20):
                 a, starts, s = [], [], []
-                if len(seen) >= most:
-                    seen, met = set(), set()
+                if held >= most:
+                    seen, met, held, held_words = set(), set(), 0, 0
                     a, starts, s = [-1], [None], [None]
-                if len(met) >= WORDS:
-                    met = set()
+                if held_words >= WORDS:
+                    met, held_words = set(), 0
                 words = dict.fromkeys(w for t in texts for w in words_of(t) if w not in met)
                 met.update(words)
+                held_words += _size(words)
                 fresh = [u for u in dict.fromkeys(cut([BLANK + w for w in words])[0]) if u not in seen]
                 seen.update(fresh)
+                held += _size(fresh)
                 for number, w in enumerate(fresh, count):
                     for base in range(0, len(w), CHUNK):
                         a.append((number & NUMBERS) << 40)
@@ -323,15 +332,15 @@ def stream_edges(stream: DataFrame, table: DataFrame, longest: int) -> DataFrame
 
 
 class Folding:
-    """What a task does with its stream: runs to ids, then texts to the ids of their runs."""
+    """What a task does with its stream: runs to ids, then texts to the ids of their runs, and these to columns."""
 
-    def __init__(self, model: Model):
-        self.model, self.ranks, self.cut = model, model.ranks(), model.cutter()
+    def __init__(self, model: Model, columns):
+        self.model, self.ranks, self.cut, self.columns = model, model.ranks(), model.cutter(), columns
         self.known: dict[str, bytes] = {}  # runs
         self.words: dict[str, bytes] = {}
         self.names: list[str] = []  # runs whose edges may not all have come
         self.held: list[np.ndarray] = []
-        self.n_held = self.base = 0
+        self.n_held = self.base = self.n_words = 0
         self.zero, self.last = 0, -1  # numbers of names[0] and names[-1]
 
     def fold(self, upto: int) -> None:
@@ -372,10 +381,11 @@ class Folding:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words_of_texts = [words_of(t) for t in texts]
-        if len(self.words) >= WORDS:
-            self.words = {}
+        if self.n_words >= WORDS:
+            self.words, self.n_words = {}, 0
         words = self.words
         new = list(dict.fromkeys(w for ws in words_of_texts for w in ws if w not in words))
+        self.n_words += _size(new)
         runs, ends = self.cut([BLANK + w for w in new])
         got, lo = [self.known[r] for r in runs], 0
         for w, hi in zip(new, ends, strict=True):
@@ -397,26 +407,51 @@ class Folding:
                 if kind[lo] == -1:
                     self.known = {}
                     continue
-                out = self.ids(s.slice(lo, hi - lo).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), ids], names=["doc_id", "ids"])
+                cols = self.columns(self.ids(s.slice(lo, hi - lo).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), *cols.values()], names=["doc_id", *cols])
 
 
-def encode(docs: DataFrame, model: Model, most: int = 300_000) -> DataFrame:
+def as_lists(out: list[bytes]) -> dict[str, pa.Array]:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+    return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))}
+
+
+def encode(docs: DataFrame, model: Model, most: int = 24 << 20, columns=as_lists, schema: str = "ids array<int>") -> DataFrame:
     """doc_id, ids (array<int>) of each document's whole text.
 
-    One stage without an exchange: each task builds the lattice of the runs of its words that it has not met yet (at
-    most `most` are remembered), folds a run's edges as they arrive one after another, and puts its texts' words
-    together. The join to the broadcast piece table keeps a task's rows in order; a run that had not come before its
-    texts would fail the lookup.
+    BPE models: one stage without an exchange. Each task builds the lattice of the runs of its words that it has not
+    met yet (`most` bytes of them are remembered), folds a run's edges as they arrive one after another, and puts its
+    texts' words together. The join to the broadcast piece table keeps a task's rows in order; a run that had not come
+    before its texts would fail the lookup. columns and schema put what columns() makes of the ids (one bytes object a
+    text, little-endian) in the place of ids, in the same stage.
+
+    Unigram models: best_paths().
     """
     if not model.bpe:
-        raise ValueError("unigram models: use viterbi() on lattice()")
+        return best_paths(docs, model)
     if model.longest > 255 or max(i for _, i, _ in model.pieces) >> 24:
         raise ValueError("pieces of over 255 letters, or over 2 ** 24 of them")
     table = piece_table(docs.sparkSession, model).select("piece", "id")
-    return stream_edges(new_runs(docs, model, most), table, model.longest).mapInArrow(lambda batches: Folding(model)(batches), "doc_id long, ids array<int>")
+    return stream_edges(new_runs(docs, model, most), table, model.longest).mapInArrow(lambda batches: Folding(model, columns)(batches), f"doc_id long, {schema}")
+
+
+def best_paths(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, ids of texts by a unigram model, all relational: distinct words, their lattice, Viterbi, and back.
+
+    Words are counted with partial sums, each distinct one is folded once, and the frequent ones are met by a bounded
+    broadcast. Equal texts are put together once.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    each = texts.select("text").distinct().withColumn("v", F.sha2(F.encode("text", "utf-8"), 256))
+    words = each.select("v", F.posexplode(F.split(normal(F.col("text")), f"(?<=[^{BLANK}])(?={BLANK})")).alias("at", "word"))
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n")))
+    folded = viterbi(lattice(counts.select("word"), piece_table(docs.sparkSession, model), model.longest), model.unknown)
+    bare = F.array_repeat(F.lit(model.unknown), F.length("word").cast("int"))  # words without an edge
+    known = written(counts.join(folded, "word", "left").select("word", F.coalesce("ids", bare).alias("ids"), "n"))
+    spelt = join_hot(words, known, ["word"], "n").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("w"))
+    ids = spelt.select("v", F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"))
+    rows = texts.select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("v"))
+    return rows.join(ids, "v", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def decoder(model: Model):
@@ -435,13 +470,11 @@ def decoder(model: Model):
 
 
 def decoded(column: str, model: Model):
-    """A pandas UDF of id arrays: the texts they stand for; null for null."""
-    from pyspark.sql.functions import pandas_udf
-
+    """An Arrow UDF of id arrays: the texts they stand for; null for null."""
     text = decoder(model)
 
-    @pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        return pd.Series([text(x.tolist()) if x is not None else None for x in ids])
+    @F.arrow_udf("string")
+    def run(ids: pa.Array) -> pa.Array:
+        return pa.array([text(x) if x is not None else None for x in ids.to_pylist()], pa.string())
 
     return run(column)

@@ -21,23 +21,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import zlib
 
     import numpy as np
+    import pyarrow as pa
 
     model = pieces.load(vocabulary("piece_bpe_32k.model"))
     text = pieces.decoder(model)
 
-    def run(batches):
-        import pyarrow as pa
+    def digests(ids):
+        sha = [hashlib.sha256(text(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest() for x in ids]
+        return {"n_ids": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "decoded_sha256": pa.array(sha, pa.string())}
 
-        for b in batches:
-            ids = b.column(1)
-            flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-            crc = [zlib.crc32(flat[s:e]) for s, e in spans]
-            sha = [hashlib.sha256(text(flat[s:e].tolist()).encode()).hexdigest() for s, e in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(sha)], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
-
-    got = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return got.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, model, columns=digests, schema="n_ids long, ids_crc32 long, decoded_sha256 string")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,18 +85,19 @@ QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_licens
 
 def _op3_sql() -> str:
     def canonical(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '{licenses.COPYRIGHT_LINE}', ' ', 'g')"
+        out = f"' ' || regexp_replace(regexp_replace(lower({x}), '{licenses.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
         for pattern, to in licenses.SPELLINGS:
             out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
-        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
-    values = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.KNOWN.items())
+    texts = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.wordings())
+    digests = ", ".join(f"('{k}', '{d}')" for k, d in licenses.DIGESTS.items())
     return f"""
-    WITH known AS (SELECT license, sha256({canonical('text')}) AS digest FROM (VALUES {values}) t(license, text)),
+    WITH known AS (SELECT license, sha256({canonical('text')}) AS digest FROM (VALUES {texts}) t(license, text) UNION ALL SELECT * FROM (VALUES {digests}) d(license, digest)),
     units AS (
-      SELECT doc_id, -1 AS line, text AS unit FROM documents WHERE text IS NOT NULL
+      SELECT doc_id, -1 AS line, text AS unit FROM documents WHERE length(text) > 0
       UNION ALL
-      SELECT doc_id, 0 AS line, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
+      SELECT doc_id, 0 AS line, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE length(text) > 0
     ),
     hits AS (SELECT doc_id, line, license FROM units JOIN known ON sha256({canonical('unit')}) = digest)
     SELECT doc_id, max(CASE WHEN line < 0 THEN license END) AS whole_license,

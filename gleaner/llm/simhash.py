@@ -12,7 +12,9 @@ their links; keys with over a ten-thousandth of all rows are cut into blocks tha
 an unbounded group and pairs within a group are never rows. Nothing is capped: every link is found.
 
 Null and empty texts have the fingerprint zero, and link like any other. Rows that share a doc_id are fingerprinted
-one by one.
+one by one; a null doc_id is carried along, and comes last where the least doc_id is asked for. Very long texts are
+hashed whole, their bits counted a block of shingles at a time. Empty tables give no rows. Of the columns only doc_id
+and text are read, so others, of whatever name, do not matter.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, on_texts, plan_bytes, written
+from .common import join_hot, join_salted, on_texts, plan_bytes, written
 from .components import connected_components
 
 BITS = 64
@@ -298,21 +300,6 @@ def groups(prints: DataFrame, radius: int) -> DataFrame:
     return join_hot(prints, of, ["fp"], "n")
 
 
-def shingles(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, set: the hashes of the text's distinct shingles of `width` words."""
-
-    def run(part, texts):
-        import xxhash
-
-        sets = []
-        for t in texts:
-            words = t.encode("utf-8", "surrogatepass").translate(_LOW).split()
-            sets.append(list({xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) - (1 << 63) for i in range(max(1, len(words) - width + 1))}) if words else [])
-        return {"doc_id": part.column(0), "set": sets}
-
-    return on_texts(docs.select("doc_id", "text"), "text", "doc_id long, set array<long>", run)
-
-
 def hashes(text: str, width: int) -> np.ndarray:
     """The XXH64 (seed 42) of each shingle of `width` words of the text, as in fingerprint(); none of a text without words."""
     import xxhash
@@ -404,25 +391,38 @@ def candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
     return met.filter(most >= share).select("a", "b").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v: the pairs (a, b; a written table) whose texts are at least `similarity` alike, or both without words."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingles(docs.join(some, "doc_id", "left_semi"), width).distinct())
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v: the pairs (a, b: nodes; a written table) whose texts are at least `similarity` alike, or both without words.
+
+    Only texts of nodes in pairs are read into sets; a node of many pairs is salted.
+    """
+    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "v"), "node")
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("v"), "text").join(some, ["doc_id", "v"]).select("node", "text")
+
+    def run(part, texts):
+        return {"node": part.column(0), "set": [np.unique(hashes(t, width)).view(np.int64) for t in texts]}
+
+    sets = written(on_texts(texts, "text", "node long, set array<long>", run).dropDuplicates(["node"]))
+    half = written(join_salted(pairs, sets.toDF("a", "x"), ["a"]))
+    both = join_salted(half, sets.toDF("b", "y"), ["b"])
     met = F.size(F.array_intersect("x", "y"))
     like = met / F.greatest(F.lit(1), F.size("x") + F.size("y") - met)
     return both.filter((like >= similarity) | (F.size("x") + F.size("y") == 0)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 10) -> DataFrame:
-    """doc_id, copy_of: each document that is let go, and the kept one that it is like.
+    """doc_id, v (the text's xxhash64), copy_of: each document that is let go, and the kept one of its group.
 
     Likeness is the Jaccard similarity of the sets of `width`-word shingles; the components of all pairs at least
-    `similarity` alike are the groups, of which the least doc_id stays. Two passes find them. Texts with fingerprints (of
-    the same shingles) at most `radius` bits apart are verified first, which joins most of each group cheaply, but not
-    every pair. All pairs that are then not in one group yet, and may be alike by what their sets have in common
-    (candidates()), are verified next, so no pair is missed. Equal texts are one node, of their least doc_id. Rows that share a doc_id and
-    text are one document; rows without a doc_id stay.
+    `similarity` alike are the groups, of which the document of least (doc_id, v) stays. Two passes find them. Texts
+    with fingerprints (of the same shingles) at most `radius` bits apart are verified first, which joins most of each
+    group cheaply, but not every pair: it looks at spanning links only where a run of equal keys is dense. All pairs
+    that are then not in one group yet, and may be alike by what their sets have in common (candidates()), are verified
+    next, so no pair is missed.
+
+    A document is a (doc_id, text): rows that share a doc_id but not the text are documents of their own, and equal
+    rows are one. Equal texts are one node, whatever their number. Texts without words (null and empty ones too) are
+    alike. Rows without a doc_id are not looked at, and stay. An empty table has no copies.
     """
     v = F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -437,28 +437,33 @@ def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int
             prefix.append(h[: len(h) - int(_least(similarity, len(h))) + 1].view(np.int64) if len(h) else np.zeros(1, np.int64))
         return {"doc_id": part.column(0), "v": part.column(1), "fp": np.array(fp, np.uint64).view(np.int64), "size": size, "prefix": prefix}
 
-    rows = written(on_texts(docs.select("doc_id", v.alias("v"), "text").filter(F.col("doc_id").isNotNull()), "text", "doc_id long, v long, fp long, size long, prefix array<long>", run))
-    nodes = written(rows.groupBy("v", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    gone = join_hot(rows.select("doc_id", "v"), nodes.select("v", F.col("doc_id").alias("copy_of"), "n"), ["v"], "n").filter("doc_id <> copy_of").select("doc_id", "copy_of")
-    prints = written(nodes.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
+    some = docs.select("doc_id", v.alias("v"), "text").filter(F.col("doc_id").isNotNull())
+    rows = written(on_texts(some, "text", "doc_id long, v long, fp long, size long, prefix array<long>", run))
+    nodes = rows.groupBy("v", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
     near = written(links(prints.select("fp"), radius, every=True).distinct())
     head = prints.select("fp", "head")
     pairs = near.join(head.toDF("u", "a"), "u").join(head.toDF("v", "b"), "v").select("a", "b")
-    same = nodes.join(prints.filter("n > 1").select("fp", "head"), "fp").filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    first = written(verified(docs, written(pairs.unionByName(same).distinct()), width, similarity))
-    labels = nodes.select("doc_id", "v").join(connected_components(first).toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    prefixes = written(rows.join(labels, ["doc_id", "v"]).select("doc_id", "size", "prefix", "label"))
-    rest = verified(docs, written(candidates(prefixes, similarity)), width, similarity)
-    roots = written(connected_components(first.unionByName(rest)).filter("node <> root"))
-    # copies of a text go with the text
-    of_texts = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("copy_of"))
-    return gone.unionByName(of_texts)
+    same = join_hot(nodes.select("node", "fp"), prints.select("fp", "head", "n"), ["fp"], "n").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    first = written(verified(docs, nodes, written(pairs.unionByName(same).distinct()), width, similarity))
+    labels = nodes.join(connected_components(first).toDF("node", "label"), "node", "left").select("node", "doc_id", "v", "fp", F.coalesce("label", "node").alias("label"))
+    # a node's set is that of its least doc_id's row; should that row come twice, so do its keys, which changes nothing
+    prefixes = written(rows.join(labels, ["doc_id", "v", "fp"]).select(F.col("node").alias("doc_id"), "size", "prefix", "label"))
+    rest = verified(docs, nodes, written(candidates(prefixes, similarity)), width, similarity)
+    roots = connected_components(first.unionByName(rest))
+    of = written(nodes.join(roots, "node", "left").select("node", "v", "fp", "doc_id", "n", F.coalesce("root", "node").alias("root")))
+    kept = written(of.groupBy("root").agg(F.min(F.struct("doc_id", "v")).alias("kept"), F.count("*").alias("texts")))
+    told = written(join_hot(of, kept, ["root"], "texts").select("v", "fp", "kept", "n"))
+    every = join_hot(rows.select("doc_id", "v", "fp"), told, ["v", "fp"], "n")
+    return every.filter(F.struct("doc_id", "v") != F.col("kept")).select("doc_id", "v", F.col("kept.doc_id").alias("copy_of"))
 
 
 def deduped(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without the copies: one document of each group stays."""
-    gone = written(copies(docs, **parameters)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs without the copies: one document of each group stays. No column is added, so names cannot clash."""
+    gone = written(copies(docs, **parameters)).select("doc_id", "v").distinct()
+    mine = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (mine == gone["v"]), "left_anti")
 
 
 def hex_of(fp):

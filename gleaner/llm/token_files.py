@@ -1,12 +1,13 @@
 """Token-ID output: Parquet files of list columns, in order of documents.
 
-Each file holds one range of ids in ascending order, a row a document: doc_id, row (its place in the file),
-start_in_file (ids before it in the file), n_tokens and ids. Integers are delta-encoded (version 2 pages) or
-dictionary-encoded where that is smaller, row groups and pages have a set size, and page indexes (with row groups
-sorted by doc_id) let a reader fetch the metadata columns, or a few documents' ids, without the rest.
-
-Null texts are empty: a document of the end id alone. Rows that share a doc_id follow one another, in order of text.
-An empty table makes files without rows.
+Each file holds one range of doc_ids in ascending order, a row a document: doc_id, row (its place in the file),
+start_in_file (ids before it in the file), n_tokens and ids. Integers are delta-encoded (version 2 pages), row groups
+and pages have a set size, and page indexes (with row groups sorted by doc_id) let a reader fetch the metadata columns,
+or a few documents' ids, without the rest. A task writes one file, whatever the session says of rows a file.
+
+Null texts are empty: a document of the end id alone. Rows that share a doc_id follow one another, in order of text,
+and a null doc_id comes first. Very long texts are one row each; slices of other texts are encoded at a time. An empty
+table makes files without rows. Of the columns only doc_id and text are read, so others, of whatever name, do not matter.
 """
 
 from __future__ import annotations
@@ -55,6 +56,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     tokenized(docs, vocabulary, end_id).write.options(
         **{
             "compression": "zstd",
+            "maxRecordsPerFile": "0",
             "parquet.writer.version": "PARQUET_2_0",
             "parquet.enable.dictionary": "false",
             "parquet.block.size": str(row_group_mb << 20),
@@ -69,9 +71,10 @@ def read_token_files(spark, path: str, columns: list[str] | None = None) -> Data
     rows = spark.read.schema(SCHEMA).parquet(path)
     file = F.col("_metadata.file_name")
     # a row a file, whatever the number of documents: what comes to the driver is as many numbers as there are files
-    per_file = rows.groupBy(file.alias("file")).agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("n")).collect()
+    per_file = rows.groupBy(file.alias("file")).agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.sum("n_tokens").alias("n")).collect()
     before, at = [], 0
-    for r in sorted(per_file, key=lambda r: (r["least"], r["file"])):
+    # nulls sort first; files of one least doc_id were written in order of their part numbers
+    for r in sorted(per_file, key=lambda r: (r["nulls"] == 0, r["least"] if r["least"] is not None else -(1 << 63), r["file"])):
         before.append((r["file"], at))
         at += r["n"]
     offsets = spark.createDataFrame(before, "file string, before long")

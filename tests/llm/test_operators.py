@@ -82,6 +82,27 @@ def test_sentencepiece_empty(empty, model):
     assert pieces.encode(empty, model).count() == 0
 
 
+def test_unigram_models_are_encoded_by_best_paths(spark):
+    scores = {"▁the": -1.0, "▁": -2.0, "th": -2.5, "e": -1.5, "t": -3.0, "h": -3.0, "▁t": -2.2, "he": -1.2, "▁▁": -2.1}
+    model = pieces.Model([(p, i + 1, s) for i, (p, s) in enumerate(scores.items())], None, 0, 4, False)
+    texts = [(1, "the the  the"), (2, "the zhe"), (2, "he"), (2, "he"), (3, None), (4, ""), (None, "é"), (5, " the ")] + [(i, "the he " * i) for i in range(10, 30)]
+    got = pieces.encode(spark.createDataFrame(texts, "doc_id long, text string"), model)
+    score = {i + 1: s for i, s in enumerate(scores.values())} | {0: -1e4}
+
+    def best(s):
+        top = [0.0] + [-1e18] * len(s)
+        for e in range(1, len(s) + 1):
+            top[e] = max([top[e - 1] - 1e4] + [top[e - n] + scores[s[e - n : e]] for n in range(1, 5) if n <= e and s[e - n : e] in scores])
+        return top[-1]
+
+    rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, round(sum(score[i] for i in r["ids"]), 6)) for r in got.collect()))
+    want = sorted((i is None, i or 0, round(best(BLANK_ + t.replace(" ", BLANK_)) if t else 0.0, 6)) for i, t in texts)
+    assert rows == want
+
+
+BLANK_ = pieces.BLANK
+
+
 def test_viterbi_is_best_path(spark):
     table = [("a", 1, -1.0), ("b", 2, -1.5), ("ab", 3, -2.0), ("abc", 4, -6.0), ("c", 5, -0.5), ("bc", 6, -1.0), ("ca", 7, -0.2)]
     words = ["abc", "ab", "abab", "cabca", "xa", "axb", "x"]
@@ -177,9 +198,28 @@ def test_licenses(odd, empty):
 
 
 def test_every_known_text_is_found(spark):
-    rows = [(i, v.upper()) for i, v in enumerate(licenses.KNOWN.values())]
-    got = licenses.documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["whole_license"] for r in got} == dict(enumerate(licenses.KNOWN))
+    rows = [(i, k, v) for i, (k, v) in enumerate(licenses.wordings())]
+    texts = [(i, v.upper()) for i, _, v in rows] + [(1000 + i, "Copyright (c) 2020, Some Body\n" + "\n".join(v.replace("license", "licence").split())) for i, _, v in rows]
+    got = licenses.documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["whole_license"] for r in got if r["whole_license"]} == {i: k for i, k, _ in rows} | {1000 + i: k for i, k, _ in rows}
+
+
+def test_own_licences_need_no_cue_words(spark):
+    docs = spark.createDataFrame([(1, "Take it, and be glad."), (2, "x\ntake IT and  be glad"), (None, "Take it and be glad"), (3, None), (4, "")], "doc_id long, text string")
+    got = licenses.scan(docs, {"glad": "Take it and be glad"}).collect()
+    assert sorted((r["doc_id"] or 0, r["line"]) for r in got) == [(0, -1), (0, 0), (1, -1), (1, 0), (2, 1)]
+
+
+def test_published_files_have_the_known_digests(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0-full": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(k, open(f"{folder}/{v}").read()) for k, v in names.items() if os.path.exists(f"{folder}/{v}")]
+    if not rows:
+        pytest.skip("no license files on this machine")
+    got = spark.createDataFrame(rows, "k string, t string").select("k", licenses.digest(F.col("t")).alias("d")).collect()
+    assert all(licenses.DIGESTS[r["k"]] == r["d"] for r in got)
 
 
 # ---- 4, 7
@@ -273,6 +313,27 @@ def test_token_files(spark, odd, documents, empty):
     assert token_files.read_token_files(spark, to).count() == 0
 
 
+def test_token_files_of_split_tasks_and_null_ids(spark, documents):
+    docs = documents.select(F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("doc_id"), "text")
+    to = work_dir(spark)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        token_files.write_token_files(docs, to, path("word_bpe_49k.json"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = token_files.read_token_files(spark, to).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == docs.count()
+    none = spark.createDataFrame([(None, f"word {i}") for i in range(9)], "doc_id long, text string")
+    to = work_dir(spark)
+    token_files.write_token_files(none, to, path("word_bpe_49k.json"))
+    assert token_files.digests(token_files.read_token_files(spark, to)).count() == 9
+
+
 def test_token_file_layout(spark, documents):
     import glob
 
@@ -352,7 +413,7 @@ def test_simhash_empty(empty):
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_copies_are_like_what_stays(which, request):
     docs = request.getfixturevalue(which)
-    gone = {r["doc_id"]: r["copy_of"] for r in simhash.copies(docs).collect() if r["doc_id"] != 14}
+    gone = {r["doc_id"]: r["copy_of"] for r in simhash.copies(docs).collect() }
     kept = {r["doc_id"]: r["text"] for r in simhash.deduped(docs).collect()}
     sets = {}
     for r in docs.collect():
@@ -411,6 +472,15 @@ def test_copies_leave_no_pair_alike(spark, sf):
     assert {r["doc_id"] for r in simhash.copies(docs).collect()} == brute_gone(rows)
 
 
+def test_rows_of_one_doc_id_with_other_texts_are_other_documents(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " end"), (3, c), (1, c), (None, a), (4, None), (5, ""), (5, " ")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, v long, copy_of long, node long")
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.deduped(docs).collect())
+    assert left == sorted([(1, a), (1, c), (2, b), (2, b), (0, a), (4, "")])
+    assert simhash.deduped(docs).columns == docs.columns
+
+
 def test_copies_of_one_fingerprint_but_another_head(spark):
     common = "x " * 500
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
