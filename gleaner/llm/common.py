@@ -130,19 +130,3 @@ def shared_folder(spark: SparkSession) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (base or os.path.join(tempfile.gettempdir(), "gleaner-work")).rstrip("/")
-
-
-def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
-    """At most n - 1 ascending bounds that cut the column's values in about equal ranges."""
-    if n <= 1:
-        return []
-    got = df.agg(F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(max(1000, 20 * n))).alias("q")).first()["q"]
-    return sorted(set(got or []))
-
-
-def bucket_of(column: Column, bounds: list[int]) -> Column:
-    """How many bounds the value has reached."""
-    if not bounds:
-        return F.lit(0)
-    b = F.array(*[F.lit(x).cast("long") for x in bounds])
-    return F.size(F.filter(b, lambda x: x <= column)).cast("int")
