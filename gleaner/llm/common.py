@@ -33,6 +33,14 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the rows' bytes, from file sizes; starts no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -129,32 +129,6 @@ def version(text):
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def brute_dedup(rows, min_words):
-    """Every window of at least min_words words that starts at an earlier place too is deleted."""
-    lines = {(i, version(t)): t.split("\n") for i, t in rows if t is not None}
-    seen, gone = {}, defaultdict(set)
-    for doc, ls in sorted(lines.items()):
-        for a in range(len(ls)):
-            n, b = 0, a
-            while b < len(ls) and n < min_words:
-                n += len(ls[b].encode().split())
-                b += 1
-            if n < min_words or not ls[a].encode().split():
-                continue
-            if seen.setdefault(tuple(ls[a:b]), (doc, a)) != (doc, a):
-                gone[doc] |= set(range(a, b))
-    return sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, version(t)]) if t is not None else "") for i, t in rows)
-
-
-@pytest.mark.parametrize("which,least", [("odd", 50), ("odd", 5), ("documents", 50), ("documents", 12)])
-def test_line_dedup(which, least, request):
-    docs = request.getfixturevalue(which)
-    got = line_dedup.deduped(docs, least)
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert collected(got.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text") == brute_dedup(rows, least)
-    assert got.filter("n_removed > n_lines").count() == 0
-
-
 def test_line_dedup_keeps_columns_and_first_copies(odd, empty):
     got = line_dedup.deduped(odd)
     assert got.columns[: len(odd.columns)] == odd.columns
@@ -188,6 +162,34 @@ def test_line_dedup_deletes_maximal_runs(spark, odd, documents):
     assert {r["doc_id"]: r["text"] for r in line_dedup.deduped(made[0][0]).collect()}[3] == ""
 
 
+def test_line_dedup_columns_of_its_own_names(spark):
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4))
+    rows = [(1, text, "a"), (2, "first\n" + text, "b"), (2, text, "c"), (None, text, "d"), (3, None, "e"), (4, "", "f"), (1, text, "g")]
+    names = ["doc_id", "text", "runs", "_doc", "doc", "version", "n_lines", "n_removed", "line", "rank"]
+    docs = spark.createDataFrame([(i, t, *[x] * 8) for i, t, x in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[2:]))
+    got = line_dedup.deduped(docs)
+    assert got.columns == ["doc_id", "text", "runs", "_doc", "doc", "version", "line", "rank", "n_lines", "n_removed"]
+    assert sorted((r["runs"], r["text"], r["n_removed"]) for r in got.collect()) == [("a", text, 0), ("b", "first", 4), ("c", "", 4), ("d", text, 0), ("e", None, 0), ("f", "", 0), ("g", text, 0)]
+
+
+def test_line_ranks_are_those_of_a_suffix_array(spark):
+    rng = np.random.default_rng(5)
+    docs = {i: [int(x) for x in rng.integers(0, 3, 40)] for i in range(12)}
+    rows = [(i, 0, k, 0, 0, x, 0) for i, ls in docs.items() for k, x in enumerate(ls)]
+    pairs, keys = written(spark.createDataFrame(rows, "doc_id long, version long, line int, stop int, many int, a long, b long")), ["a", "b"]
+    for k in range(4):
+        table = line_dedup.ranked(pairs, keys, 3)
+        ranks = line_dedup.join_hot(pairs, table, keys, "n").filter("rank IS NOT NULL")
+        got = {(r["doc_id"], r["line"]): r["rank"] for r in ranks.collect()}
+        spans = {(i, a): tuple(ls[a : a + 2**k]) for i, ls in docs.items() for a in range(len(ls) - 2**k + 1)}
+        often = {s for s, n in Counter(spans.values()).items() if n > 1}
+        assert set(got) == {p for p, s in spans.items() if s in often}
+        order = sorted(got, key=lambda p: (got[p], p))
+        assert order == sorted(got, key=lambda p: (spans[p], p))  # the suffix array's order, at this depth
+        assert all((got[p] == got[q]) == (spans[p] == spans[q]) for p, q in zip(order, order[1:]))
+        pairs, keys = written(line_dedup.doubled(ranks, k, 3)).filter("depth = 0"), ["r", "other"]
+
+
 # ---- 3
 
 
