@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into words where a run of blanks begins, and words into runs of letters, where no piece of the vocabulary
-goes on past the cut; each task keeps its distinct runs. A run's lattice is relational: its substrings of bounded length
-are exploded, and an equi-join to the piece table (as many rows as the vocabulary, so it is broadcast) leaves the edges.
+goes on past the cut; each task keeps its distinct runs. A run's lattice is relational: its substrings, bounded in
+length by the longest piece that begins with the same three letters, are exploded, and an equi-join to the piece table (as many rows as the vocabulary, so it is broadcast) leaves the edges.
 No text and no edge is exchanged. Edges are grouped by run and folded into the run's pieces:
 
 * models of the unigram kind: Viterbi, by one `aggregate` over a word's edges in order of their ends;
@@ -37,7 +37,7 @@ from .common import join_hot, texts_of, written
 
 BLANK = "▁"
 CHUNK = 240
-WORDS = 4 << 20  # bytes of words that a task remembers
+WORDS = 20 << 20  # bytes of words that a task remembers
 NUMBERS = (1 << 23) - 1
 _NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -90,6 +90,40 @@ class Model:
 
         return cut
 
+    def reach(self):
+        """A function of runs: for each letter of all of them, the length up to which its substrings may be pieces.
+
+        That of the longest piece that begins with the same three letters, two if none does, and never past the run.
+        """
+        far: dict[str, int] = {}
+        for p, _, _ in self.pieces:
+            if len(p) > 2:
+                far[p[:3]] = max(far.get(p[:3], 0), len(p))
+        letters = sorted(set("".join(far)))
+        code = np.zeros(0x110000, np.int16)
+        code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        size = len(letters) + 1
+
+        def key(c: np.ndarray) -> np.ndarray:
+            c = c.astype(np.int64)
+            return (c[..., :-2] * size + c[..., 1:-1]) * size + c[..., 2:]
+
+        starts = sorted(far)
+        keys = key(code[np.array([[ord(c) for c in t] for t in starts], np.int64).reshape(-1, 3)]).reshape(-1)
+        order = np.argsort(keys)
+        keys, most = np.append(keys[order], -1), np.append(np.array([far[t] for t in starts], np.int32)[order], 2)
+
+        def bounds(runs: list[str], ends: np.ndarray) -> np.ndarray:
+            text = "".join(runs)
+            left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(text))
+            own = np.full(len(text), 2, np.int32)
+            k = key(code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")])
+            at = np.searchsorted(keys[:-1], k)
+            own[: len(k)] = np.where(keys[at] == k, most[at], 2)
+            return np.minimum(own, left).astype(np.int32)
+
+        return bounds
+
 
 def load(path: str) -> Model:
     """A model file of the sentencepiece library with the identity normaliser, a blank before the text, and blanks kept."""
@@ -284,13 +318,17 @@ def _size(words) -> int:
 
 
 def new_runs(docs: DataFrame, model: Model, most: int) -> DataFrame:
-    """Rows of one stream: each slice's runs that its task has not met (a, starts, s), then its texts (a null, s).
+    """Rows of one stream: each slice's runs that its task has not met (a, far, s), then its texts (a null, s).
 
-    a: the run's number, shifted by 40 bits; s: up to `starts` of its letters, and as many more as a piece may
-    reach. After `most` bytes of runs a task forgets them, which a row with a = -1 tells, so that its memory is bounded.
+    a: the run's number, shifted by 40 bits; s: up to CHUNK of its letters, and as many more as a piece may reach; far:
+    a zero, and for each of the letters how long its substrings may be. After `most` bytes of runs a task forgets them,
+    which a row with a = -1 tells, so that its memory is bounded.
     """
-    longest, cut = model.longest, model.cutter()
-    schema = pa.schema([("a", pa.int64()), ("starts", pa.int32()), ("s", pa.string()), ("doc_id", pa.int64())])
+    longest, cut, bounds = model.longest, model.cutter(), model.reach()
+    schema = pa.schema([("a", pa.int64()), ("far", pa.list_(pa.int32())), ("s", pa.string()), ("doc_id", pa.int64())])
+
+    def zeros(n):
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.zeros(n, np.int32)))
 
     def run(batches):
         seen: set[str] = set()
@@ -298,10 +336,9 @@ def new_runs(docs: DataFrame, model: Model, most: int) -> DataFrame:
         count = held = held_words = 0
         for batch in batches:
             for part, texts in texts_of(batch, "text", 1 << 20):
-                a, starts, s = [], [], []
                 if held >= most:
                     seen, met, held, held_words = set(), set(), 0, 0
-                    a, starts, s = [-1], [None], [None]
+                    yield pa.RecordBatch.from_arrays([pa.array([-1]), zeros(1), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], schema=schema)
                 if held_words >= WORDS:
                     met, held_words = set(), 0
                 words = dict.fromkeys(w for t in texts for w in words_of(t) if w not in met)
@@ -310,23 +347,27 @@ def new_runs(docs: DataFrame, model: Model, most: int) -> DataFrame:
                 fresh = [u for u in dict.fromkeys(cut([BLANK + w for w in words])[0]) if u not in seen]
                 seen.update(fresh)
                 held += _size(fresh)
-                for number, w in enumerate(fresh, count):
-                    for base in range(0, len(w), CHUNK):
-                        a.append((number & NUMBERS) << 40)
-                        starts.append(min(CHUNK, len(w) - base))
-                        s.append(w[base : base + CHUNK + longest - 1])
+                ends = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))
+                size = np.diff(ends, prepend=0)
+                chunks = -(-size // CHUNK)
+                number = np.repeat(np.arange(count, count + len(fresh)) & NUMBERS, chunks)
+                base = (np.arange(len(number)) - np.repeat(np.cumsum(chunks) - chunks, chunks)) * CHUNK
+                first = np.repeat(ends - size, chunks) + base
+                far = np.insert(bounds(fresh, ends), first, 0)
+                offsets = np.append(first + np.arange(len(first)), len(far)).astype(np.int32)
+                s = fresh if len(number) == len(fresh) else [fresh[i][b : b + CHUNK + longest - 1] for i, b in zip(np.repeat(np.arange(len(fresh)), chunks).tolist(), base.tolist(), strict=True)]
                 count += len(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(starts, pa.int32()), pa.array(s, pa.string()), pa.nulls(len(a), pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(number << 40), pa.ListArray.from_arrays(pa.array(offsets), pa.array(far)), pa.array(s, pa.string()), pa.nulls(len(s), pa.int64())], schema=schema)
                 n = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(texts, pa.string()), part.column(0).cast(pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), zeros(n), pa.array(texts, pa.string()), part.column(0).cast(pa.int64())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "a long, starts int, s string, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "a long, far array<int>, s string, doc_id long")
 
 
-def stream_edges(stream: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+def stream_edges(stream: DataFrame, table: DataFrame) -> DataFrame:
     """The lattice of a stream's runs: its rows as they are, and each run's edges after it (a: with start, n and id)."""
-    starts = stream.select("*", F.explode(F.expr("sequence(0, coalesce(starts, 0))")).alias("start"))
-    spans = starts.select("*", F.explode(F.expr(f"if(start = 0, array(0), sequence(1, least({longest}, length(s) - start + 1)))")).alias("n"))
+    starts = stream.select("a", "s", "doc_id", F.posexplode("far").alias("start", "far"))
+    spans = starts.select("*", F.explode(F.expr("if(start = 0, array(0), sequence(1, far))")).alias("n"))
     met = spans.withColumn("piece", F.expr("if(n > 0, substring(s, start, n), null)")).join(F.broadcast(table), "piece", "left").filter("n = 0 OR id IS NOT NULL")
     return met.selectExpr("if(n = 0, a, a + shiftleft(cast(start AS long), 32) + shiftleft(cast(n AS long), 24) + id) AS a", "if(n = 0, s, null) AS s", "doc_id")
 
@@ -416,7 +457,7 @@ def as_lists(out: list[bytes]) -> dict[str, pa.Array]:
     return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))}
 
 
-def encode(docs: DataFrame, model: Model, most: int = 24 << 20, columns=as_lists, schema: str = "ids array<int>") -> DataFrame:
+def encode(docs: DataFrame, model: Model, most: int = 64 << 20, columns=as_lists, schema: str = "ids array<int>") -> DataFrame:
     """doc_id, ids (array<int>) of each document's whole text.
 
     BPE models: one stage without an exchange. Each task builds the lattice of the runs of its words that it has not
@@ -432,7 +473,7 @@ def encode(docs: DataFrame, model: Model, most: int = 24 << 20, columns=as_lists
     if model.longest > 255 or max(i for _, i, _ in model.pieces) >> 24:
         raise ValueError("pieces of over 255 letters, or over 2 ** 24 of them")
     table = piece_table(docs.sparkSession, model).select("piece", "id")
-    return stream_edges(new_runs(docs, model, most), table, model.longest).mapInArrow(lambda batches: Folding(model, columns)(batches), f"doc_id long, {schema}")
+    return stream_edges(new_runs(docs, model, most), table).mapInArrow(lambda batches: Folding(model, columns)(batches), f"doc_id long, {schema}")
 
 
 def best_paths(docs: DataFrame, model: Model) -> DataFrame:
