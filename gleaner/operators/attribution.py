@@ -46,8 +46,7 @@ def name_from_email(email: Column) -> Column:
 
 def _labelled(text: Column, pattern: str) -> Column:
     """array<struct<label, value, at>> of a pattern whose second group ends the match."""
-    labels = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.transform(T.spans(text, pattern, 2), lambda s, i: F.struct(T.collapse(F.lower(F.get(labels, i))).alias("label"), s["raw"].alias("value"), s["start"].alias("at")))
+    return F.transform(T.spans(text, pattern, 2), lambda s: F.struct(T.collapse(F.lower(F.regexp_extract(s["whole"], pattern, 1))).alias("label"), s["raw"].alias("value"), s["start"].alias("at")))
 
 
 def _mention(name, email, role, confidence, method: str, *evidence) -> Column:

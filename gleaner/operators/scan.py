@@ -34,13 +34,38 @@ def _of_rule(i: int):
     return lambda s, k: F.struct(F.lit(i).alias("rule"), k.alias("match_ord"), s["start"].alias("start"), s["raw"].alias("raw"), s["span"].alias("span"))
 
 
+# Words (in lower case) of which a text holds one if a rule's shape can match in it at all.
+CUES = {
+    "routing_number": ["routing", "aba", "transit"], "account_number": ["account", "acct", "checking", "savings"], "passport_number": ["passport", "passeport"],
+    "drivers_license_number": ["driver", "driving"], "medical_record_number": ["mrn", "med", "record"], "national_provider_identifier": ["npi", "national"],
+    "employer_identification_number": ["ein", "employer", "federal"], "full_name": ["name", "owner", "patient", "employee", "member", "student", "borrower", "applicant", "customer", "client", "insured", "subscriber", "dependent", "guarantor", "spouse", "child", "parent"],
+    "email_address": ["@"],
+}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly where its files may have fewer splits than the cluster has cores; a large table stays where it is.
+
+    A scan costs far more than moving a text, and a file of one row group would else be one task.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size < 2 * cores << 27 else df
+
+
 def candidates(sources: DataFrame, ref: str = "source_ref", text: str = "text", types: list[str] | None = None) -> DataFrame:
     """ref, text, rule, match_ord, start, raw, span of each match of each rule's shapes; blank ones left out."""
+    rows = spread(sources.select(F.col(ref).alias("source_ref"), F.col(text).alias("text")).filter(F.length("text") > 0))
+    none = F.expr("cast(array() as array<struct<rule:int,match_ord:int,start:int,raw:string,span:string>>)")
+    cued = any(r.subtype in CUES for _, r in chosen(types))
+    rows = held(rows, low=F.lower(F.col("text"))) if cued else rows
     arrays = []
     for i, r in chosen(types):
         for p in r.patterns:
-            arrays.append(F.transform(T.spans(F.col("text"), "(?im)" + p, r.group), _of_rule(i)))
-    found = sources.select(F.col(ref).alias("source_ref"), F.col(text).alias("text")).withColumn("m", F.explode(F.concat(*arrays)))
+            found = F.transform(T.spans(F.col("text"), "(?im)" + p, r.group), _of_rule(i))
+            arrays.append(F.when(T.contains_any(F.col("low"), CUES[r.subtype]), found).otherwise(none) if r.subtype in CUES else found)
+    found = rows.select("source_ref", "text", F.explode(F.concat(*arrays)).alias("m"))
     return found.select("source_ref", "text", "m.*").filter("raw <> ''").withColumn("end", F.col("start") + F.length("span"))
 
 
@@ -51,7 +76,7 @@ def held(rows: DataFrame, **cols: Column) -> DataFrame:
 
 def is_test_data(text: Column, start: Column, end: Column, raw: Column) -> Column:
     around = F.lower(T.window(text, start, end, 200))
-    marked = around.rlike("|".join(m.replace("[", "\\[").replace("]", "\\]") for m in TEST_MARKERS))
+    marked = F.exists(F.array(*[F.lit(m) for m in TEST_MARKERS]), lambda m: F.contains(around, m))
     return marked | F.lower(F.regexp_replace(raw, "[^A-Za-z0-9@]", "")).isin(FAKE_VALUES) | F.lower(raw).isin(FAKE_MAILBOXES)
 
 
@@ -70,11 +95,12 @@ def personal_mailbox(v: Column) -> Column:
 
 
 def _filters() -> dict[str, Column]:
-    line, window, label = F.lower(T.collapse(F.col("line"))), F.lower(T.collapse(F.col("window"))), F.col("label")
+    """Each filter's test of a row that holds line_l and window_l: line and window in lower case, blanks collapsed."""
+    line, window, label = F.col("line_l"), F.col("window_l"), F.col("label")
     text, start, end, raw = F.col("text"), F.col("start"), F.col("end"), F.col("raw")
 
     def has(v, k):
-        return T.has_any(v, list(WORDS[k]))
+        return T.has_any(v, list(WORDS[k]), v)
 
     def either(k):
         return has(line, k) | has(window, k)
@@ -131,18 +157,20 @@ def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = F
     rules = chosen(types)
     rows = found.filter(~is_test_data(F.col("text"), F.col("start"), F.col("end"), F.col("raw")))
     width = _case(rules, lambda r: F.lit(r.width), 100)
-    rows = held(rows, **{"line": T.line_of(F.col("text"), F.col("start"), F.col("span")), "window": T.window(F.col("text"), F.col("start"), F.col("end"), width), "label": T.last_label(T.line_prefix(F.col("text"), F.col("start")))})
+    rows = held(rows, **{"line": T.line_of(F.col("text"), F.col("start"), F.col("span")), "window": T.window(F.col("text"), F.col("start"), F.col("end"), width), "prefix": T.line_prefix(F.col("text"), F.col("start"))})
+    rows = held(rows, line_l=F.lower(T.collapse(F.col("line"))), window_l=F.lower(T.collapse(F.col("window"))), label=T.last_label(F.col("prefix")))
     filters = _filters()
     keep = _case(rules, lambda r: filters[r.keep] if r.keep else None, True)
     valid = _case(rules, lambda r: r.valid(F.col("raw")) if r.valid else None, True)
     rows = held(rows, ok=keep & valid).filter("ok").drop("ok")
     none = F.array().cast("array<string>")
-    words = {"strong": ("line", "strong"), "near": ("window", "context")}
-    for k, (v, a) in words.items():
+    told = {}
+    for k, (v, a) in {"strong": ("line", "strong"), "near": ("window", "context")}.items():
         cases = [(i, r) for i, r in rules if getattr(r, a)]
-        rows = held(rows, **{k: F.coalesce(_case(cases, lambda r, v=v, a=a: T.hits(F.col(v), list(getattr(r, a)))), none) if cases else none})
+        told[k] = F.coalesce(_case(cases, lambda r, v=v, a=a: T.hits(F.col(v), list(getattr(r, a)), F.col(f"{v}_l"))), none) if cases else none
     against = [(i, r) for i, r in rules if r.negative]
-    rows = held(rows, against=F.coalesce(_case(against, lambda r: F.array_distinct(F.concat(T.hits(F.col("line"), list(r.negative)), T.hits(F.col("window"), list(r.negative))))), none) if against else none)
+    both = lambda r: F.array_distinct(F.concat(*[T.hits(F.col(v), list(r.negative), F.col(f"{v}_l")) for v in ("line", "window")]))
+    rows = held(rows, **told, against=F.coalesce(_case(against, both), none) if against else none)
     if follow_up:
         rows = held(rows, anywhere=_case(rules, lambda r: T.hits(F.col("text"), list(r.strong))), around=_case(rules, lambda r: T.hits(F.col("text"), list(r.context))))
         rows = rows.withColumn("anywhere", F.when(F.size("anywhere") > 0, F.col("anywhere")).otherwise(F.col("around"))).drop("around")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import spread
+
 #: Expressions that Spark SQL and DuckDB read alike; k is c_custkey.
 FIELDS = {
     "ssn": "lpad(cast(100 + k % 500 as string), 3, '0') || '-' || lpad(cast(10 + k % 89 as string), 2, '0') || '-' || lpad(cast(1000 + k * 7 % 8999 as string), 4, '0')",
@@ -23,7 +25,7 @@ FILLER = "The quarterly gardening bulletin describes how tulips and oaks fare in
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_ref, text: a message a customer, one labelled value a line, filler between the lines."""
-    base = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS k")
+    base = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS k"))
     values = base.select("k", *[F.expr(v).alias(c) for c, v in FIELDS.items()])
     lines = [F.concat(F.lit(LINES[c]), F.col(c)) for c in FIELDS]
     body = []

@@ -62,14 +62,18 @@ def phone_candidates(spark, d):
 
 
 def _html_sql() -> str:
+    """Steps for RE2, which has no back-references, and the entities that the pages hold."""
+    steps = [("(?is)<script.*?>.*?</script>", " "), ("(?is)<style.*?>.*?</style>", " "), ("(?i)<br\\s*/?>", "\n"), ("(?i)</(p|div|li|tr|h[1-6])>", "\n"), ("(?i)<(p|div|li|tr|table|ul|ol|h[1-6])[^>]*>", "\n"), ("<[^>]+>", " ")]
+    entities = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&reg;", "®"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
+    space = [("\\r\\n?", "\n"), ("[ \\t\\f\\x0B]+", " "), ("\\n[ \\t]+", "\n"), ("\\n{3,}", "\n\n")]
     out = "html"
-    for p, to in text.HTML_STEPS:
+    for p, to in steps:
         out = f"regexp_replace({out}, '{p}', '{to}', 'g')"
-    for e, to in text.ENTITIES:
-        out = f"replace({out}, '{e}', '{to.replace(chr(39), chr(39) * 2)}')"
-    for p, to in text.HTML_SPACE:
+    for e, to in entities:
+        out = f"replace({out}, '{e}', '{to}')"
+    for p, to in space:
         out = f"regexp_replace({out}, '{p}', '{to}', 'g')"
-    return f"SELECT page_id, trim({out}) AS text FROM pages"
+    return f"SELECT page_id, trim({out}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM pages"
 
 
 @query(_html_sql())
