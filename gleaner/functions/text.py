@@ -77,7 +77,7 @@ def hits(v: Column, words: list[str], low: Column | None = None) -> Column:
 
 
 #: A private letter that marks the ends of matches; texts that hold it lose it to another one of the same length.
-_MARK, _OTHER = "\ue000", "\ue001"
+MARK, OTHER = "\ue000", "\ue001"
 
 
 def spans(text: Column, pattern: str, group: int) -> Column:
@@ -86,9 +86,9 @@ def spans(text: Column, pattern: str, group: int) -> Column:
     One replacement marks the matches (and their groups), one split cuts there, and one fold over the parts adds up
     their lengths: a text is searched once, and a text without a match costs nothing more.
     """
-    clean = F.translate(text, _MARK, _OTHER)
-    marked = F.regexp_replace(clean, pattern, f"{_MARK}$0{_MARK}" + (f"${group}{_MARK}" if group else ""))
-    parts = F.split(marked, _MARK, -1)
+    clean = F.translate(text, MARK, OTHER)
+    marked = F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}" + (f"${group}{MARK}" if group else ""))
+    parts = F.split(marked, MARK, -1)
     empty = F.expr("cast(array() as array<struct<start:int,raw:string,span:string,whole:string>>)")
     kinds = 3 if group else 2  # a gap, a match, and the group that ends it
     first = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit("").alias("m"), empty.alias("out"))

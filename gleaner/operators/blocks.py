@@ -26,11 +26,19 @@ def segment(sources: DataFrame, ref: str = "source_ref", text: str = "text") ->
 
 
 def lookup(findings: DataFrame, blocks: DataFrame) -> DataFrame:
-    """findings with block_ix: the first block whose range holds char_offset, else block 0. A range join within a source."""
-    b = blocks.select(F.col("source_ref").alias("b_ref"), "block_ix", "start", "end")
-    met = findings.join(b, (F.col("source_ref") == F.col("b_ref")) & F.col("char_offset").between(F.col("start"), F.col("end")), "left")
-    first = met.groupBy(*findings.columns).agg(F.coalesce(F.min("block_ix"), F.lit(0)).alias("block_ix"))
-    return first
+    """findings with block_ix and finding_no (its place in the source): the first block whose range, ends included, holds char_offset, else block 0.
+
+    Findings and the begins of blocks are put in one order, in which a finding sees the last block that begins before
+    it: one exchange, and no pair of a finding and a block.
+    """
+    near = Window.partitionBy("source_ref").orderBy("start")
+    b = blocks.select("source_ref", F.col("start").alias("_pos"), F.lit(1).alias("_kind"), F.struct("block_ix", F.col("end").alias("end"), F.lead("start").over(near).alias("next")).alias("_b"))
+    f = findings.select("source_ref", F.col("char_offset").alias("_pos"), F.lit(0).alias("_kind"), F.struct(*findings.columns).alias("_f"))
+    in_order = Window.partitionBy("source_ref").orderBy("_pos", "_kind")
+    rows = f.unionByName(b, allowMissingColumns=True).withColumns({"_b": F.last("_b", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0)), "finding_no": F.row_number().over(in_order)})
+    at, here = F.col("_b"), F.col("_pos")
+    ix = F.when(at["end"] >= here, at["block_ix"]).when(at["next"] == here, at["block_ix"] + 1).otherwise(0)
+    return rows.filter(F.col("_f").isNotNull()).select("_f.*", ix.cast("int").alias("block_ix"), "finding_no")
 
 
 def neighbours(blocks: DataFrame, reach: int = 3) -> DataFrame:

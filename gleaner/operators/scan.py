@@ -48,15 +48,17 @@ def spread(df: DataFrame) -> DataFrame:
 
     A scan costs far more than moving a text, and a file of one row group would else be one task.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(4 * cores) if size < 2 * cores << 27 else df
 
 
-def candidates(sources: DataFrame, ref: str = "source_ref", text: str = "text", types: list[str] | None = None) -> DataFrame:
-    """ref, text, rule, match_ord, start, raw, span of each match of each rule's shapes; blank ones left out."""
-    rows = spread(sources.select(F.col(ref).alias("source_ref"), F.col(text).alias("text")).filter(F.length("text") > 0))
+def candidates(sources: DataFrame, ref: str = "source_ref", text: str = "text", types: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ref, text, the columns to keep, rule, match_ord, start, raw, span of each match of each rule's shapes; blank ones left out."""
+    rows = spread(sources.select(F.col(ref).alias("source_ref"), F.col(text).alias("text"), *keep).filter(F.length("text") > 0))
     none = F.expr("cast(array() as array<struct<rule:int,match_ord:int,start:int,raw:string,span:string>>)")
     cued = any(r.subtype in CUES for _, r in chosen(types))
     rows = held(rows, low=F.lower(F.col("text"))) if cued else rows
@@ -65,8 +67,8 @@ def candidates(sources: DataFrame, ref: str = "source_ref", text: str = "text",
         for p in r.patterns:
             found = F.transform(T.spans(F.col("text"), "(?im)" + p, r.group), _of_rule(i))
             arrays.append(F.when(T.contains_any(F.col("low"), CUES[r.subtype]), found).otherwise(none) if r.subtype in CUES else found)
-    found = rows.select("source_ref", "text", F.explode(F.concat(*arrays)).alias("m"))
-    return found.select("source_ref", "text", "m.*").filter("raw <> ''").withColumn("end", F.col("start") + F.length("span"))
+    found = rows.select("source_ref", "text", *keep, F.explode(F.concat(*arrays)).alias("m"))
+    return found.select("source_ref", "text", *keep, "m.*").filter("raw <> ''").withColumn("end", F.col("start") + F.length("span"))
 
 
 def held(rows: DataFrame, **cols: Column) -> DataFrame:
@@ -152,7 +154,7 @@ def _round2(v: Column) -> Column:
     return F.floor(v * 100 + 0.5) / 100
 
 
-def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = False) -> DataFrame:
+def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Findings of candidates that pass suppression, filters, validation, context and threshold."""
     rules = chosen(types)
     rows = found.filter(~is_test_data(F.col("text"), F.col("start"), F.col("end"), F.col("raw")))
@@ -160,9 +162,9 @@ def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = F
     rows = held(rows, **{"line": T.line_of(F.col("text"), F.col("start"), F.col("span")), "window": T.window(F.col("text"), F.col("start"), F.col("end"), width), "prefix": T.line_prefix(F.col("text"), F.col("start"))})
     rows = held(rows, line_l=F.lower(T.collapse(F.col("line"))), window_l=F.lower(T.collapse(F.col("window"))), label=T.last_label(F.col("prefix")))
     filters = _filters()
-    keep = _case(rules, lambda r: filters[r.keep] if r.keep else None, True)
+    passed = _case(rules, lambda r: filters[r.keep] if r.keep else None, True)
     valid = _case(rules, lambda r: r.valid(F.col("raw")) if r.valid else None, True)
-    rows = held(rows, ok=keep & valid).filter("ok").drop("ok")
+    rows = held(rows, ok=passed & valid).filter("ok").drop("ok")
     none = F.array().cast("array<string>")
     told = {}
     for k, (v, a) in {"strong": ("line", "strong"), "near": ("window", "context")}.items():
@@ -197,7 +199,7 @@ def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = F
     return rows.select(
         "source_ref", "pii_type", _case(rules, lambda r: F.lit(r.category)).alias("pii_category"), _case(rules, lambda r: F.lit(r.subtype)).alias("pii_subtype"), _case(rules, lambda r: F.lit(r.risk)).alias("risk_level"),
         "redacted_value", excerpt(F.col("text"), F.col("start"), F.col("end"), F.col("redacted_value")).alias("excerpt"), F.col("start").alias("char_offset"), _round2(F.col("exact")).alias("confidence"),
-        (F.concat(method, F.lit("+followup")) if follow_up else method).alias("detection_method"), *[v.alias(k) for k, v in flag.items()], "normalized_value", "evidence", F.col("rule").alias("rule_ord"), "match_ord",
+        (F.concat(method, F.lit("+followup")) if follow_up else method).alias("detection_method"), *[v.alias(k) for k, v in flag.items()], "normalized_value", "evidence", F.col("rule").alias("rule_ord"), "match_ord", *keep,
     )
 
 

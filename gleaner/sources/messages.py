@@ -9,9 +9,11 @@ from __future__ import annotations
 import email
 import email.header
 import email.policy
+import html
+import re
 from email.utils import getaddresses
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,25 +28,49 @@ def people(header) -> list[dict]:
     return [{"email": a.strip(), "name": n.strip() or None} for n, a in getaddresses([str(header)]) if a] if header else []
 
 
-def _leaves(part, kind: str) -> list[str]:
-    """Decoded texts of the parts of one MIME type, attachments and what is inside them left out."""
-    if "attachment" in (part.get("Content-Disposition") or "").lower():
-        return []
-    if part.is_multipart():
-        return [t for p in part.iter_parts() for t in _leaves(p, kind)]
-    raw = part.get_payload(decode=True) if part.get_content_type() == kind else None
-    if not raw:
-        return []
+def parts_of(part) -> tuple[list[str], list[str], list]:
+    """Plain texts, HTML texts and files of a message, in one walk: what is an attachment gives no text, nor does what is inside it."""
+    plain, pages, files = [], [], []
+
+    def visit(p, hidden: bool) -> None:
+        placed = p.get("Content-Disposition")
+        hidden = hidden or "attachment" in (placed or "").lower()
+        kind = p.get_content_type()
+        if placed is not None and p.get_content_maintype() != "multipart":
+            files.append(p)
+        if p.is_multipart():
+            for inner in p.iter_parts() if kind != "message/rfc822" else p.get_payload():
+                visit(inner, hidden)
+        elif not hidden and kind in ("text/plain", "text/html"):
+            text = _decoded(p)
+            if text:
+                (plain if kind == "text/plain" else pages).append(text)
+
+    visit(part, False)
+    return plain, pages, files
+
+
+def _decoded(part) -> str:
     try:
-        return [raw.decode(part.get_content_charset() or "utf-8", errors="ignore")]
+        return (part.get_payload(decode=True) or b"").decode(part.get_content_charset() or "utf-8", errors="ignore")
     except LookupError:  # a charset that Python does not know
-        return []
+        return ""
 
 
 def body_of(msg) -> tuple[str, bool]:
     """Plain parts joined by newlines; HTML parts only where there are none. Says whether it is HTML."""
-    plain = _leaves(msg, "text/plain")
-    return ("\n".join(plain), False) if plain else ("\n".join(_leaves(msg, "text/html")), True)
+    plain, pages, _ = parts_of(msg)
+    return ("\n".join(plain), False) if plain else ("\n".join(pages), True)
+
+
+def page_text(page: str) -> str:
+    """functions.text.html_text() of one page, for pages within files."""
+    for shape, to in T.HTML_STEPS:
+        page = re.sub(shape, to, page)
+    page = html.unescape(page)
+    for shape, to in T.HTML_SPACE:
+        page = re.sub(shape, to, page)
+    return page.strip(T.BLANKS)
 
 
 def _name(part) -> str | None:
@@ -58,15 +84,11 @@ def _name(part) -> str | None:
 def files_of(msg) -> list[tuple[str, str, bytes]]:
     """Name, MIME type and bytes of every part that has a disposition and a file name and is not empty."""
     out = []
-    for part in msg.walk():
-        if part.get_content_maintype() == "multipart" or part.get("Content-Disposition") is None:
-            continue
-        name = _name(part)
-        data = part.get_payload(decode=True)
-        if not data and part.get_content_type() == "message/rfc822":
-            inner = part.get_payload()
-            data = inner[0].as_bytes() if isinstance(inner, list) and inner else None
-        if name and data:
+    for part in parts_of(msg)[2]:
+        inner = part.get_payload() if part.get_content_type() == "message/rfc822" else None
+        data = inner[0].as_bytes() if isinstance(inner, list) and inner else part.get_payload(decode=True)
+        name = _name(part) if data else None
+        if name:
             out.append((name, part.get_content_type(), data))
     return out
 
@@ -87,32 +109,41 @@ def parsed(file: str, raw: bytes) -> dict:
     return row
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """MESSAGE rows of (file, content) rows. HTML bodies are turned into text by Columns."""
+def parse(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """MESSAGE rows of (file, content) rows, and the columns to keep. HTML bodies are turned into text by Columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(MESSAGE))
+    kept = "".join(f", `{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for name, raw in zip(batch.column(0), batch.column(1), strict=True):  # a message at a time bounds memory
-                yield pa.RecordBatch.from_pylist([parsed(name.as_py(), raw.as_py() or b"")], schema=schema)
+            for i, (name, raw) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):  # a message at a time bounds memory
+                row = pa.RecordBatch.from_pylist([parsed(name.as_py(), raw.as_py() or b"")], schema=schema)
+                yield pa.RecordBatch.from_arrays([*row.columns, *[c.slice(i, 1) for c in batch.columns[2:]]], names=[*schema.names, *batch.schema.names[2:]])
 
-    rows = files.select("file", "content").mapInArrow(run, MESSAGE)
+    rows = files.select("file", "content", *keep).mapInArrow(run, MESSAGE + kept)
     return rows.withColumn("body", F.when(F.col("is_html"), T.html_text(F.col("body"))).otherwise(F.col("body"))).drop("is_html")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All .eml files below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(path)
-    return parse(files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content"))
+    return parse(files.select(below(F.col("path"), path).alias("file"), "content"))
+
+
+def below(path: Column, root: str) -> Column:
+    """A file's path below the folder that was read, so that equal names in two folders stay apart; its name where the folder is a pattern."""
+    base = re.escape(root.split("://")[-1].removeprefix("file:").rstrip("/"))
+    inside = F.regexp_extract(path, f"{base}/(.+)$", 1)
+    return F.when(inside != "", inside).otherwise(F.regexp_extract(path, "[^/]*$", 0))
 
 
-def sources(messages: DataFrame) -> DataFrame:
-    """file, source_ref, text, method, structured, warnings: the subject, the body and each attachment, blank ones left out."""
+def sources(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """file, the columns to keep, source_ref, text, method, structured, warnings: the subject, the body and each attachment, blank ones left out."""
     none = F.array().cast("array<string>")
 
     def one(ref, text, method, structured, warnings):
@@ -123,8 +154,8 @@ def sources(messages: DataFrame) -> DataFrame:
 
     own = F.array(plain("subject", F.when(F.col("subject") != "", F.concat(F.lit("Subject: "), F.col("subject")))), plain("body", F.col("body")))
     named = F.transform("attachments", lambda a: one(F.concat(F.col("file"), F.lit(" > "), a["name"]), F.concat(F.lit("Attachment filename: "), a["name"], F.lit("\n"), a["text"]), a["method"], a["structured"], a["warnings"]))
-    rows = messages.filter("error IS NULL").select("file", F.explode(F.concat(own, named)).alias("s"))
-    return rows.select("file", "s.*").filter("trim(text) <> ''")
+    rows = messages.filter("error IS NULL").select("file", *keep, F.explode(F.concat(own, named)).alias("s"))
+    return rows.select("file", *keep, "s.*").filter("trim(text) <> ''")
 
 
 def participants(messages: DataFrame) -> DataFrame:
