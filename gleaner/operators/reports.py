@@ -80,8 +80,9 @@ def analyst_rows(people: DataFrame, types: list[str] | None = None) -> DataFrame
         *[_yes(F.bool_or(c)).alias(to) for c, to in (("hipaa", "hipaa_triggered"), ("ccpa", "ccpa_triggered"), ("pipeda", "pipeda_triggered"), ("notification_required", "notification_required"))],
     )
     each = rows.groupBy(*keys).pivot("pii_type", types) if types else rows.groupBy(*keys).pivot("pii_type")
-    wide = each.agg(F.lit("Y")).na.fill("N")
+    wide = each.agg(F.count("pii_type"))
     found = [c for c in wide.columns if c not in keys]
+    wide = wide.select(*keys, *[_yes(F.coalesce(c, F.lit(0)) > 0).alias(c) for c in found])
     out = told.join(wide, keys).join(owner, "entity_key").withColumn("risk_band", F.element_at(F.array(*[F.lit(x) for x in ORDER]), F.col("_level")))
     first = ["person_id", "canonical_name", "canonical_email", "entity_type", "risk_band", "risk_score", "attribution_confidence", "attribution_methods", "entity_source_file_count", "entity_source_files"]
     own = ["current_source_ref_count", "current_source_refs", "pii_match_count", "unique_pii_type_count", "pii_types_found", "avg_confidence"]

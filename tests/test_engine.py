@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner import registry
+from gleaner import cases, registry  # noqa: F401
 from gleaner.operators import blocks, scan
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
