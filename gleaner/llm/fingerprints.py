@@ -50,7 +50,8 @@ def sample(bits: Column, word: Column, weight: Column, k: int) -> Column:
     r = rest - F.ln(a / c)
     t = F.floor((F.ln(weight.cast("double")) + rest) / r)
     # r (t - b) + r, with b = rest / r; at t = 0 the bid is that of weight 1, to the last bit
-    return F.when((weight == 1) | (t == 0), v).otherwise(F.exp(-c * F.exp(rest - r * (t + 1))))
+    # (two tests, as the parts of an OR would all be worked out for every word)
+    return F.when(weight == 1, v).otherwise(F.when(t == 0, v).otherwise(F.exp(-c * F.exp(rest - r * (t + 1)))))
 
 
 def signatures(words: DataFrame, keys: list[str]) -> DataFrame:
