@@ -15,6 +15,10 @@ read, so further columns, of whatever name, do not matter; rows with a null doc_
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 SPELLINGS = [
     ("licence", "license"),
     ("licensing", "license"),
-    (" https? ", " "),
+    (" https ", " "),
+    (" http ", " "),
     (" version ([0-9])", " v$1"),
     (" v ([0-9])", " v$1"),
     ("([0-9]) 0 ", "$1 "),
@@ -158,12 +163,24 @@ DIGESTS = {
 }
 
 
-def canonical(text: Column) -> Column:
+def words(text: Column) -> Column:
+    """Lower case, copyright lines left out, runs of anything but letters and digits one blank, one at either end too."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, "[^\\p{L}\\p{N}]+", " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(out, "[^\\p{L}\\p{N}]+", " "), F.lit(" "))
+
+
+def spelt(out: Column) -> Column:
+    """words() in one spelling. A text that holds no part that every match of a spelling has is left as it is, which is all but a few."""
+    parts = [max(re.split("\\(?\\[[^]]*\\]\\)?", p), key=len) for p, _ in SPELLINGS]
+    some = functools.reduce(operator.or_, [out.contains(p) for p in parts])
+    new = out
     for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(out, " +", " "))
+        new = F.regexp_replace(new, pattern, to)
+    return F.trim(F.when(some, new).otherwise(out))
+
+
+def canonical(text: Column) -> Column:
+    return spelt(words(text))
 
 
 def digest(text: Column) -> Column:
@@ -191,7 +208,9 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     # a text of one line is digested once, and told of as both
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.when(F.instr("text", "\n") == 0, F.array(F.lit(-1), F.lit(0))).otherwise(F.array(i)).alias("lines"), x.alias("unit")))
     units = F.when(F.instr("text", "\n") > 0, F.concat(F.array(F.struct(F.array(F.lit(-1)).alias("lines"), F.col("text").alias("unit"))), lines)).otherwise(lines)
-    found = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.lines", digest(F.col("u.unit")).alias("digest"))
+    # never null, or the join would test for that below the digest, and work it out twice
+    each = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.lines", words(F.col("u.unit")).alias("words"))
+    found = each.select("doc_id", "lines", F.coalesce(F.sha2(F.encode(spelt(F.col("words")), "utf-8"), 256), F.lit("")).alias("digest"))
     return found.join(F.broadcast(names), "digest").select("doc_id", F.explode("lines").alias("line"), "license", "digest")
 
 

@@ -88,7 +88,7 @@ def _op3_sql() -> str:
         out = f"' ' || regexp_replace(regexp_replace(lower({x}), '{licenses.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
         for pattern, to in licenses.SPELLINGS:
             out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
-        return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+        return f"trim({out})"
 
     texts = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.wordings())
     digests = ", ".join(f"('{k}', '{d}')" for k, d in licenses.DIGESTS.items())
