@@ -25,10 +25,16 @@ def _byte_letters() -> list[str]:
 
 
 class PieceEncoder(dict):
-    """piece -> bytes of its ids; learns a piece when it is first asked for."""
+    """piece -> bytes of its ids; learns a piece when it is first asked for.
 
-    def __init__(self, path: str, leading_space: bool, most: int = 600_000):
+    Two generations of pieces are remembered, of about `most` bytes each: when the newer one is full it becomes the
+    older one, from which pieces that are asked for again are taken over.
+    """
+
+    def __init__(self, path: str, leading_space: bool, most: int = 32 << 20):
         super().__init__({"": b""})
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,9 +60,13 @@ class PieceEncoder(dict):
         return b"".join([ids[t.id] for t in self.model.tokenize(shown)])
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
+        if self.held >= self.most:
+            self.older, self.held = dict(self), 0
             self.clear()
             self[""] = b""
+        got = self.older.get(piece)
+        if got is not None:
+            return self._keep(piece, got)
         word = piece[1:] if self.leading_space and piece[0] == " " else piece
         if word.isascii() and word.isalpha():
             got = self._word(piece)
@@ -68,7 +78,11 @@ class PieceEncoder(dict):
                 got = self[piece[:-1]] + self[m[3]]
             else:
                 got = self._word(piece)
+        return self._keep(piece, got)
+
+    def _keep(self, piece: str, got: bytes) -> bytes:
         self[piece] = got
+        self.held += len(piece) + len(got) + 150
         return got
 
     def pieces(self, text: str) -> list[str]:
