@@ -32,6 +32,7 @@ from .components import connected_components
 BITS = 64
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 2048
+FEW = 1_000_000  # pairs that are verified by plain joins: no key has more rows than that
 FULL = 32  # links a member of a run of equal keys, up to which all of them are looked at
 
 
@@ -394,17 +395,22 @@ def candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """u, v: the pairs (a, b: nodes; a written table) whose texts are at least `similarity` alike, or both without words.
 
-    Only texts of nodes in pairs are read into sets; a node of many pairs is salted.
+    Only texts of nodes in pairs are read into sets. Their list is a written table, so that Spark knows its size: it is
+    broadcast where it is small, and joined by an exchange of the texts where not. Beyond FEW pairs, a node of many
+    pairs is salted.
     """
-    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "v"), "node")
+    some = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "v"), "node"))
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("v"), "text").join(some, ["doc_id", "v"]).select("node", "text")
 
     def run(part, texts):
         return {"node": part.column(0), "set": [np.unique(hashes(t, width)).view(np.int64) for t in texts]}
 
     sets = written(on_texts(texts, "text", "node long, set array<long>", run).dropDuplicates(["node"]))
-    half = written(join_salted(pairs, sets.toDF("a", "x"), ["a"]))
-    both = join_salted(half, sets.toDF("b", "y"), ["b"])
+    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+    if pairs.count() > FEW:
+        both = join_salted(written(join_salted(pairs, x, ["a"])), y, ["b"])
+    else:
+        both = pairs.join(x, "a").join(y, "b")
     met = F.size(F.array_intersect("x", "y"))
     like = met / F.greatest(F.lit(1), F.size("x") + F.size("y") - met)
     return both.filter((like >= similarity) | (F.size("x") + F.size("y") == 0)).select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -483,6 +483,13 @@ def test_rows_of_one_doc_id_with_other_texts_are_other_documents(spark):
     assert simhash.deduped(docs).columns == docs.columns
 
 
+def test_many_pairs_are_salted(spark, documents, monkeypatch):
+    want = collected(simhash.copies(documents), "doc_id", "copy_of")
+    monkeypatch.setattr(simhash, "FEW", 0)
+    monkeypatch.setattr(components, "FEW", 0)
+    assert collected(simhash.copies(documents), "doc_id", "copy_of") == want
+
+
 def test_copies_of_one_fingerprint_but_another_head(spark):
     common = "x " * 500
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
