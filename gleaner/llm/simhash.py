@@ -362,7 +362,7 @@ def met_in_runs(key: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.n
 def candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
     """a, b: all pairs of different labels that can be at least `similarity` alike, of rows doc_id, size, prefix, label (a written table).
 
-    A prefix is a set's least size - ceil(similarity * size) + 1 hashes. Sets that are like one another have at least one
+    A prefix is a set's first size - ceil(similarity * size) + 1 hashes in an order that is the same for all. Sets that are like one another have at least one
     of them in common, so equal ones meet in sorted runs. A pair that shares c of them shares at most
     c + ceil(similarity * the larger size) - 1 in all; one for which that is too few goes. Nothing is missed or capped.
     """
@@ -416,6 +416,41 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, si
     return both.filter((like >= similarity) | (F.size("x") + F.size("y") == 0)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def prefix_of(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first size - ceil(similarity * size) + 1 of a set's hashes (ascending), common ones last; a key of its own for an empty set."""
+    if not len(h):
+        return np.zeros(1, np.int64)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = np.concatenate([h[~late], h[late]])
+    return h[: len(h) - int(_least(similarity, len(h))) + 1].view(np.int64)
+
+
+def rarer_prefixes(texts: DataFrame, rows: DataFrame, width: int, similarity: float, rounds: int = 2, most: int = 200_000) -> DataFrame:
+    """doc_id, v, size, prefix, from prefixes in ascending order (rows; a written table), with the common hashes last.
+
+    Any one order of all hashes will do for prefixes to meet. One in which those that stand in many prefixes (over 64,
+    and over a `most`-th of all) come last keeps passages that many texts share from bringing all of these together. Fewer
+    than `most` hashes are sent to the driver and back. As others take their places in the prefixes, it is done twice.
+    """
+    common, got = np.empty(0, np.uint64), rows.select("doc_id", "v", "size", "prefix")
+    for _ in range(rounds):
+        total = got.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        counts = got.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter((F.col("n") > max(64, total // most)) & (F.col("key") != 0))
+        new = np.array([r["key"] for r in counts.select("key").toLocalIterator()], np.int64).view(np.uint64)
+        new = np.setdiff1d(new, common)
+        if not len(new):
+            break
+        common = np.union1d(common, new)
+
+        def run(part, texts, common=common):
+            sets = [np.unique(hashes(t, width)) for t in texts]
+            return {"doc_id": part.column(0), "v": part.column(1), "size": [len(h) for h in sets], "prefix": [prefix_of(h, common, similarity) for h in sets]}
+
+        got = written(on_texts(texts, "text", "doc_id long, v long, size long, prefix array<long>", run))
+    return got
+
+
 def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 10) -> DataFrame:
     """doc_id, v (the text's xxhash64), copy_of: each document that is let go, and the kept one of its group.
 
@@ -430,7 +465,7 @@ def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int
     rows are one. Equal texts are one node, whatever their number. Texts without words (null and empty ones too) are
     alike. Rows without a doc_id are not looked at, and stay. An empty table has no copies.
     """
-    v = F.xxhash64(F.coalesce("text", F.lit("")))
+    v, none = F.xxhash64(F.coalesce("text", F.lit(""))), np.empty(0, np.uint64)
 
     def run(part, texts):
         fp, size, prefix = [], [], []
@@ -439,8 +474,7 @@ def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int
             fp.append(majority(h))
             h = np.unique(h)
             size.append(len(h))
-            # texts without words are like one another: they meet at a key of their own
-            prefix.append(h[: len(h) - int(_least(similarity, len(h))) + 1].view(np.int64) if len(h) else np.zeros(1, np.int64))
+            prefix.append(prefix_of(h, none, similarity))  # texts without words meet at a key of their own: they are alike
         return {"doc_id": part.column(0), "v": part.column(1), "fp": np.array(fp, np.uint64).view(np.int64), "size": size, "prefix": prefix}
 
     some = docs.select("doc_id", v.alias("v"), "text").filter(F.col("doc_id").isNotNull())
@@ -455,7 +489,8 @@ def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int
     first = written(verified(docs, nodes, written(pairs.unionByName(same).distinct()), width, similarity))
     labels = nodes.join(connected_components(first).toDF("node", "label"), "node", "left").select("node", "doc_id", "v", "fp", F.coalesce("label", "node").alias("label"))
     # a node's set is that of its least doc_id's row; should that row come twice, so do its keys, which changes nothing
-    prefixes = written(rows.join(labels, ["doc_id", "v", "fp"]).select(F.col("node").alias("doc_id"), "size", "prefix", "label"))
+    rare = rarer_prefixes(some, rows, width, similarity)
+    prefixes = written(rare.join(labels, ["doc_id", "v"]).select(F.col("node").alias("doc_id"), "size", "prefix", "label"))
     rest = verified(docs, nodes, written(candidates(prefixes, similarity)), width, similarity)
     roots = connected_components(first.unionByName(rest))
     of = written(nodes.join(roots, "node", "left").select("node", "v", "fp", "doc_id", "n", F.coalesce("root", "node").alias("root")))

@@ -483,6 +483,18 @@ def test_rows_of_one_doc_id_with_other_texts_are_other_documents(spark):
     assert simhash.deduped(docs).columns == docs.columns
 
 
+def test_passages_of_many_texts_do_not_bring_them_together(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(k, shared + " " + " ".join(f"k{k}w{i}" for i in range(60))) for k in range(150)] + [(1000 + k, shared + " " + " ".join(f"k{k}w{i}" for i in range(59))) for k in range(0, 150, 10)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in simhash.copies(docs).collect()} == brute_gone(rows)
+    h = [np.unique(simhash.hashes(t, 5)) for _, t in rows]
+    texts = docs.select("doc_id", F.xxhash64("text").alias("v"), "text")
+    start = written(spark.createDataFrame([(i, 0, len(x), simhash.prefix_of(x, np.empty(0, np.uint64), 0.8).tolist()) for (i, _), x in zip(rows, h, strict=True)], "doc_id long, v long, size long, prefix array<long>"))
+    got = simhash.rarer_prefixes(texts, start, 5, 0.8, rounds=6)
+    assert got.select(F.explode("prefix").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0] <= 64
+
+
 def test_many_pairs_are_salted(spark, documents, monkeypatch):
     want = collected(simhash.copies(documents), "doc_id", "copy_of")
     monkeypatch.setattr(simhash, "FEW", 0)
