@@ -20,8 +20,8 @@ def write_csv(rows: DataFrame, path: str, human: bool = True) -> None:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV report with its columns' own names again."""
-    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=True, emptyValue="", nullValue="\0").csv(path)
+    """A CSV report with its columns' own names again; a field that is empty in the file is an empty string."""
+    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=True, emptyValue="", nullValue="\0").csv(path).na.fill("")
     known = [*reports.HEADERS, "person_id", "canonical_name", "canonical_email", "entity_type", "report_job_id", "report_schema_version", "report_build_id", "report_generated_utc"]
     back = {reports.header(k): k for k in reversed(known)}
     return rows.withColumnsRenamed({c: back.get(c, c.lower().replace(" ", "_")) for c in rows.columns})
