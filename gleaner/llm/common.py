@@ -30,7 +30,24 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     """df as a table in the shared folder: it cuts lineage, and survives lost executors."""
     path = work_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more, and has the shuffle files of what is done go too.
+
+    A frame that is no such table itself is left alone.
+    """
+    for t in tables:
+        path = t.__dict__.pop("_written_to", None)
+        if path:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:

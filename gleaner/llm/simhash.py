@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, join_salted, on_texts, plan_bytes, written
+from .common import dropped, join_hot, join_salted, on_texts, plan_bytes, written
 from .components import connected_components
 
 BITS = 64
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 2048
 FEW = 1_000_000  # pairs that are verified by plain joins: no key has more rows than that
+RUN = 32  # members of a run of equal prefix hashes, up to which all pairs of them are rows
 FULL = 32  # links a member of a run of equal keys, up to which all of them are looked at
 
 
@@ -330,8 +331,34 @@ def _least(similarity: float, n):
     return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
+def parities(h: np.ndarray) -> bytes:
+    """For each bit place, whether the set has an odd number of hashes there: four places a hash or more, 64 to 16384.
+
+    Hashes that only one of two sets has, d of them, change at most d places. A longer row of places becomes that of
+    the shorter kind by the exclusive or of its halves.
+    """
+    n = 64
+    while n < 4 * len(h) and n < 16384:
+        n *= 2
+    odd = np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(rows: list[np.ndarray], words: int) -> np.ndarray:
+    """parities() as rows of so many 64-bit words each."""
+    return np.array([np.bitwise_xor.reduce(r.reshape(-1, words), axis=0) for r in rows], np.uint64).reshape(-1, words)
+
+
+def share(similarity: float, total):
+    """The fewest common shingles of two sets of so many shingles in all that are `similarity` alike."""
+    return np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
+
+
 def met_in_runs(key: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.ndarray, similarity: float):
-    """Pairs (a, b, their sizes) of nodes of different labels in runs of equal keys, of sizes that may be alike, in blocks."""
+    """Pairs (a, b, their sizes) of nodes of different labels in runs of at most RUN equal keys, of sizes that may be alike.
+
+    Members of longer runs are told one by one (key, node, the run's length, -1).
+    """
 
     def fit(i, j):
         x, y = size[i], size[j]
@@ -345,29 +372,59 @@ def met_in_runs(key: np.ndarray, node: np.ndarray, size: np.ndarray, label: np.n
         return
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.concatenate([first, [n]]))
-    small = np.repeat(count <= 32, count)
-    for d in range(1, int(min(32, count.max()))):
+    small = np.repeat(count <= RUN, count)
+    for d in range(1, int(min(RUN, count.max()))):
         i = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
         yield fit(i, i + d)
-    for start, m in zip(first[count > 32].tolist(), count[count > 32].tolist(), strict=True):
-        if (label[start : start + m] == label[start]).all():
-            continue
-        for at in range(0, m, 64):
-            for b in range(at, m, 16384):
-                i, j = np.meshgrid(np.arange(at, min(at + 64, m)), np.arange(b, min(b + 16384, m)), indexing="ij")
-                later = j > i
-                yield fit(i[later] + start, j[later] + start)
+    for start, m in zip(first[count > RUN].tolist(), count[count > RUN].tolist(), strict=True):
+        run = slice(start, start + m)
+        if (label[run] != label[start]).any():
+            yield key[run], node[run], np.full(m, m), np.full(m, -1)
+
+
+def near_in_run(node: np.ndarray, size: np.ndarray, label: np.ndarray, block: np.ndarray, odd: list[np.ndarray], similarity: float):
+    """Pairs (a, b, their sizes) of nodes of different labels of a run whose parities allow them to be `similarity` alike.
+
+    What the places that differ leave for both sets to share must reach share(): for others it is proved that they
+    aren't alike. block: -1, or where two blocks of a run meet, the one of the two.
+    """
+    order = np.argsort(size, kind="stable")
+    node, size, label, block, odd = node[order], size[order], label[order], block[order], [odd[i] for i in order.tolist()]
+    for at in range(0, len(node), 64):
+        x = slice(at, min(at + 64, len(node)))
+        words = len(odd[at])
+        mine = _folded(odd[x], words)
+        upto = int(np.searchsorted(size, size[x][-1] / similarity + 1e-6, "right"))
+        for b in range(at, upto, 4096):
+            y = slice(b, min(b + 4096, upto))
+            other, differ = _folded(odd[y], words), np.zeros((x.stop - x.start, y.stop - y.start), np.int64)
+            for w in range(words):
+                differ += np.bitwise_count(mine[:, None, w] ^ other[None, :, w])
+            total = size[x][:, None] + size[y][None, :]
+            can = (total - differ) // 2 >= share(similarity, total)
+            can &= (label[x][:, None] != label[y][None, :]) & (node[x][:, None] != node[y][None, :])
+            can &= (block[x][:, None] < 0) | (block[x][:, None] != block[y][None, :])
+            i, j = np.nonzero(can)
+            later = j + b > i + at
+            i, j = i[later] + at, j[later] + b
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            if len(i):
+                yield node[i], node[j], size[i], size[j]
 
 
 def candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all pairs of different labels that can be at least `similarity` alike, of rows doc_id, size, prefix, label (a written table).
+    """a, b: all pairs of different labels that can be at least `similarity` alike, of rows doc_id, size, prefix, label, odd (a written table).
 
     A prefix is a set's first size - ceil(similarity * size) + 1 hashes in an order that is the same for all. Sets that are like one another have at least one
-    of them in common, so equal ones meet in sorted runs. A pair that shares c of them shares at most
-    c + ceil(similarity * the larger size) - 1 in all; one for which that is too few goes. Nothing is missed or capped.
+    of them in common, so equal ones meet in sorted runs. A run of at most RUN members gives its pairs. The members of
+    longer runs meet a second time, with their sets' parities (`odd`), in blocks of BLOCK that meet two by two: of
+    their pairs only those become rows that the parities do not rule out. A pair that is alike is so met at each of the
+    c hashes that both its prefixes have, and shares at most c + ceil(similarity * the larger size) - 1 in all; one for
+    which that is too few goes. Nothing is missed or capped.
     """
+    spark = prefixes.sparkSession
     rows = prefixes.select(F.explode("prefix").alias("key"), "doc_id", "size", "label")
-    session = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(max(session, plan_bytes(prefixes) // (16 << 20)), "key").sortWithinPartitions("key")
     names = ["a", "b", "m", "n"]
 
@@ -386,14 +443,43 @@ def candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
                 held = [h[cut:] for h in held]
         yield from out(*held)
 
-    met = dealt.mapInArrow(run, "a long, b long, m long, n long").groupBy(*names).agg(F.count("*").alias("c"))
-    share = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-9)
+    both = written(dealt.mapInArrow(run, "a long, b long, m long, n long"))
+    sets = prefixes.select(F.col("doc_id").alias("b"), "size", "label", "odd")
+    members = both.filter("n < 0").select(F.col("a").alias("key"), "b", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    members = members.withColumn("mine", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("key", F.least(j, F.col("mine")), F.greatest(j, F.col("mine"))).alias("key"), F.when(j == F.col("mine"), -1).otherwise(F.col("mine")).alias("block")))
+    members = members.select("b", F.explode(meet).alias("r")).select("b", "r.*")
+    # within a block its own members are marked -1 and meet one another; those of the block pair (j, mine) carry their block
+    members = members.join(sets, "b").select("key", "b", "size", "label", "block", "odd")
+
+    def compare(batches):
+        held, odd = [np.empty(0, np.int64) for _ in range(5)], []
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            odd += [np.frombuffer(x, "<u8") for x in batch.column(5).to_pylist()]
+            cut = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+            yield from runs([h[:cut] for h in held], odd[:cut])
+            held, odd = [h[cut:] for h in held], odd[cut:]
+        yield from runs(held, odd)
+
+    def runs(held, odd):
+        key = held[0]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist() if len(key) else []
+        for lo, hi in itertools.pairwise([*first, len(key)]):
+            for cols in near_in_run(*[h[lo:hi] for h in held[1:]], odd[lo:hi], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    again = members.repartition(session, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, m long, n long")
+    met = both.filter("n >= 0").unionByName(again).groupBy(*names).agg(F.count("*").alias("c"))
+    fewest = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-9)
     most = F.col("c") + F.ceil(F.lit(similarity) * F.greatest("m", "n") - 1e-9) - 1
-    return met.filter(most >= share).select("a", "b").distinct()
+    pairs = written(met.filter(most >= fewest).select("a", "b").distinct())
+    dropped(both)
+    return pairs
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v: the pairs (a, b: nodes; a written table) whose texts are at least `similarity` alike, or both without words.
+    """u, v (a written table): the pairs (a, b: nodes; a written table) whose texts are at least `similarity` alike, or both without words.
 
     Only texts of nodes in pairs are read into sets. Their list is a written table, so that Spark knows its size: it is
     broadcast where it is small, and joined by an exchange of the texts where not. Beyond FEW pairs, a node of many
@@ -406,14 +492,17 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, si
         return {"node": part.column(0), "set": [np.unique(hashes(t, width)).view(np.int64) for t in texts]}
 
     sets = written(on_texts(texts, "text", "node long, set array<long>", run).dropDuplicates(["node"]))
-    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+    x, y, done = sets.toDF("a", "x"), sets.toDF("b", "y"), [some, sets]
     if pairs.count() > FEW:
-        both = join_salted(written(join_salted(pairs, x, ["a"])), y, ["b"])
+        done.append(written(join_salted(pairs, x, ["a"])))
+        both = join_salted(done[-1], y, ["b"])
     else:
         both = pairs.join(x, "a").join(y, "b")
     met = F.size(F.array_intersect("x", "y"))
     like = met / F.greatest(F.lit(1), F.size("x") + F.size("y") - met)
-    return both.filter((like >= similarity) | (F.size("x") + F.size("y") == 0)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = written(both.filter((like >= similarity) | (F.size("x") + F.size("y") == 0)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    dropped(*done)
+    return out
 
 
 def prefix_of(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
@@ -427,16 +516,19 @@ def prefix_of(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarra
 
 
 def rarer_prefixes(texts: DataFrame, rows: DataFrame, width: int, similarity: float, rounds: int = 2, most: int = 200_000) -> DataFrame:
-    """doc_id, v, size, prefix, from prefixes in ascending order (rows; a written table), with the common hashes last.
+    """doc_id, v, size, prefix, odd, from prefixes in ascending order (rows; a written table), with the common hashes last.
 
-    Any one order of all hashes will do for prefixes to meet. One in which those that stand in many prefixes (over 64,
-    and over a `most`-th of all) come last keeps passages that many texts share from bringing all of these together. Fewer
+    Any one order of all hashes will do for prefixes to meet. One in which those that stand in many prefixes (over a `most`-th
+    of all, and two) come last keeps passages that many texts share from bringing all of these together. Fewer
     than `most` hashes are sent to the driver and back. As others take their places in the prefixes, it is done twice.
+    They are counted in one text of eight, drawn by its hash: which hashes come last changes no result. A hash of 64
+    texts is then found but for one time in 70.
     """
-    common, got = np.empty(0, np.uint64), rows.select("doc_id", "v", "size", "prefix")
+    common, got = np.empty(0, np.uint64), rows.select("doc_id", "v", "size", "prefix", *[c for c in rows.columns if c == "odd"])
     for _ in range(rounds):
-        total = got.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        counts = got.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter((F.col("n") > max(64, total // most)) & (F.col("key") != 0))
+        drawn = got.filter(F.pmod("v", F.lit(8)) == 0)
+        total = drawn.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        counts = drawn.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter((F.col("n") > max(2, total // most)) & (F.col("key") != 0))
         new = np.array([r["key"] for r in counts.select("key").toLocalIterator()], np.int64).view(np.uint64)
         new = np.setdiff1d(new, common)
         if not len(new):
@@ -445,14 +537,15 @@ def rarer_prefixes(texts: DataFrame, rows: DataFrame, width: int, similarity: fl
 
         def run(part, texts, common=common):
             sets = [np.unique(hashes(t, width)) for t in texts]
-            return {"doc_id": part.column(0), "v": part.column(1), "size": [len(h) for h in sets], "prefix": [prefix_of(h, common, similarity) for h in sets]}
+            return {"doc_id": part.column(0), "v": part.column(1), "size": [len(h) for h in sets], "prefix": [prefix_of(h, common, similarity) for h in sets], "odd": [parities(h) for h in sets]}
 
-        got = written(on_texts(texts, "text", "doc_id long, v long, size long, prefix array<long>", run))
+        before, got = got, written(on_texts(texts, "text", "doc_id long, v long, size long, prefix array<long>, odd binary", run))
+        dropped(before)
     return got
 
 
 def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 10) -> DataFrame:
-    """doc_id, v (the text's xxhash64), copy_of: each document that is let go, and the kept one of its group.
+    """doc_id, v (the text's xxhash64), copy_of (a written table): each document that is let go, and the kept one of its group.
 
     Likeness is the Jaccard similarity of the sets of `width`-word shingles; the components of all pairs at least
     `similarity` alike are the groups, of which the document of least (doc_id, v) stays. Two passes find them. Texts
@@ -468,17 +561,18 @@ def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int
     v, none = F.xxhash64(F.coalesce("text", F.lit(""))), np.empty(0, np.uint64)
 
     def run(part, texts):
-        fp, size, prefix = [], [], []
+        fp, size, prefix, odd = [], [], [], []
         for t in texts:
             h = hashes(t, width)
             fp.append(majority(h))
             h = np.unique(h)
             size.append(len(h))
             prefix.append(prefix_of(h, none, similarity))  # texts without words meet at a key of their own: they are alike
-        return {"doc_id": part.column(0), "v": part.column(1), "fp": np.array(fp, np.uint64).view(np.int64), "size": size, "prefix": prefix}
+            odd.append(parities(h))
+        return {"doc_id": part.column(0), "v": part.column(1), "fp": np.array(fp, np.uint64).view(np.int64), "size": size, "prefix": prefix, "odd": odd}
 
     some = docs.select("doc_id", v.alias("v"), "text").filter(F.col("doc_id").isNotNull())
-    rows = written(on_texts(some, "text", "doc_id long, v long, fp long, size long, prefix array<long>", run))
+    rows = written(on_texts(some, "text", "doc_id long, v long, fp long, size long, prefix array<long>, odd binary", run))
     nodes = rows.groupBy("v", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     prints = written(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
@@ -486,23 +580,30 @@ def copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int
     head = prints.select("fp", "head")
     pairs = near.join(head.toDF("u", "a"), "u").join(head.toDF("v", "b"), "v").select("a", "b")
     same = join_hot(nodes.select("node", "fp"), prints.select("fp", "head", "n"), ["fp"], "n").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    first = written(verified(docs, nodes, written(pairs.unionByName(same).distinct()), width, similarity))
+    pairs = written(pairs.unionByName(same).distinct())
+    first = verified(docs, nodes, pairs, width, similarity)
+    dropped(near, prints, pairs)
     labels = nodes.join(connected_components(first).toDF("node", "label"), "node", "left").select("node", "doc_id", "v", "fp", F.coalesce("label", "node").alias("label"))
     # a node's set is that of its least doc_id's row; should that row come twice, so do its keys, which changes nothing
     rare = rarer_prefixes(some, rows, width, similarity)
-    prefixes = written(rare.join(labels, ["doc_id", "v"]).select(F.col("node").alias("doc_id"), "size", "prefix", "label"))
-    rest = verified(docs, nodes, written(candidates(prefixes, similarity)), width, similarity)
+    prefixes = written(rare.join(labels, ["doc_id", "v"]).select(F.col("node").alias("doc_id"), "size", "prefix", "label", "odd"))
+    dropped(rare)
+    pairs = candidates(prefixes, similarity)
+    dropped(prefixes)
+    rest = verified(docs, nodes, pairs, width, similarity)
     roots = connected_components(first.unionByName(rest))
     of = written(nodes.join(roots, "node", "left").select("node", "v", "fp", "doc_id", "n", F.coalesce("root", "node").alias("root")))
     kept = written(of.groupBy("root").agg(F.min(F.struct("doc_id", "v")).alias("kept"), F.count("*").alias("texts")))
     told = written(join_hot(of, kept, ["root"], "texts").select("v", "fp", "kept", "n"))
     every = join_hot(rows.select("doc_id", "v", "fp"), told, ["v", "fp"], "n")
-    return every.filter(F.struct("doc_id", "v") != F.col("kept")).select("doc_id", "v", F.col("kept.doc_id").alias("copy_of"))
+    out = written(every.filter(F.struct("doc_id", "v") != F.col("kept")).select("doc_id", "v", F.col("kept.doc_id").alias("copy_of")))
+    dropped(rows, nodes, first, pairs, rest, of, kept, told)
+    return out
 
 
 def deduped(docs: DataFrame, **parameters) -> DataFrame:
     """docs without the copies: one document of each group stays. No column is added, so names cannot clash."""
-    gone = written(copies(docs, **parameters)).select("doc_id", "v").distinct()
+    gone = copies(docs, **parameters).select("doc_id", "v").distinct()
     mine = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (mine == gone["v"]), "left_anti")
 

@@ -718,3 +718,38 @@ def test_language_id(spark, odd, empty):
 
 def test_queries_are_registered(spark, sf_dir):
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_a_long_run_of_equal_keys_makes_no_row_a_pair():
+    rng = np.random.default_rng(5)
+    shared = rng.integers(0, 1 << 63, 82, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 15, dtype=np.uint64)])) for _ in range(300)]
+    sets += [np.unique(np.append(s[:-1], rng.integers(0, 1 << 63, 3, dtype=np.uint64))) for s in sets[:20]] + [rng.integers(0, 1 << 63, 6000, dtype=np.uint64), shared]
+    n = len(sets)
+    node, size, label = np.arange(n), np.array([len(s) for s in sets]), np.arange(n)
+    met = [cols for cols in simhash.met_in_runs(np.zeros(n, np.int64), node, size, label, 0.8)]
+    assert sum(len(cols[0]) for cols in met) == n
+    alike = {(a, b) for a in range(n) for b in range(a + 1, n) if (c := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - c)}
+    got = [cols for cols in simhash.near_in_run(node, size, label, np.full(n, -1), [np.frombuffer(simhash.parities(s), "<u8") for s in sets], 0.8)]
+    pairs = {x for cols in got for x in zip(cols[0].tolist(), cols[1].tolist(), strict=True)}
+    assert len(alike) >= 20 and alike <= pairs and len(pairs) < n * (n - 1) // 20
+
+
+def test_members_of_long_runs_meet_in_blocks_and_tables_go(spark, documents, monkeypatch):
+    from pathlib import Path
+
+    from gleaner.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    shared = " ".join(f"s{i}" for i in range(86))
+    rows = [(10_000_000 + k, shared + " " + " ".join(f"k{k}w{i}" for i in range(15 - k % 3 // 2))) for k in range(60)]
+    rows += [(20_000_000 + k, f"more {t}") for k, (_, t) in enumerate(rows[:10])]
+    docs = written(documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = collected(simhash.copies(docs), "doc_id", "copy_of")
+    assert {20_000_000 + k for k in range(10)} <= {x[0] for x in want}
+    monkeypatch.setattr(simhash, "RUN", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    before = set(folder.glob("gleaner-*"))
+    assert collected(simhash.copies(docs), "doc_id", "copy_of") == want
+    left = [spark.read.parquet(str(p)).columns for p in set(folder.glob("gleaner-*")) - before if list(p.glob("*.parquet"))]
+    assert not [c for c in left if {"prefix", "set"} & set(c)]
