@@ -1,19 +1,23 @@
 """Token ids of the public tokenizers, looked up by piece of text.
 
 Both vocabularies split a text before any merge, and never merge across a space: so a text's ids are the ids of its
-pieces between spaces, one after another. Each worker remembers its pieces' ids as little-endian bytes. A piece of one
-run of Latin letters with at most one mark after it needs no normaliser or splitter: the library's merge model gets it
-directly. Every other piece goes through the library's whole path.
+pieces between spaces, one after another. Each worker remembers its pieces' ids as little-endian bytes. Marks between a
+Latin letter and white space or the end are pieces of their own, as both vocabularies split them off, and where the
+vocabulary has lower case only, a text of Latin letters is lower-cased at once. A run of Latin letters needs no
+normaliser or splitter: the library's merge model gets it directly. Every other piece goes through the library's whole path.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 
 _EDGE = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s[^\S\n]|[^\S \n]|\n\s| \n|^\s|\s$|\0")
-_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)").fullmatch
+_OTHER_SPACE = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search  # or the separator of pieces()
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)").fullmatch
+_MARKS = re.compile(r"([.,;:!?|#*$%&<>](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)[.,;:!?|#*$%&<>]*)(?=[ \n]|\Z)").split
+_BEYOND = re.compile(r"[^\x00-\xff]").search
 _MADE: dict = {}
 
 
@@ -31,7 +35,7 @@ class PieceEncoder(dict):
     older one, from which pieces that are asked for again are taken over.
     """
 
-    def __init__(self, path: str, leading_space: bool, most: int = 32 << 20):
+    def __init__(self, path: str, leading_space: bool, most: int = 40 << 20):
         super().__init__({"": b""})
         self.older: dict[str, bytes] = {}
         self.held = 0
@@ -42,7 +46,7 @@ class PieceEncoder(dict):
         self.tok.encode_special_tokens = True
         self.lower, self.leading_space, self.most = self.tok.normalizer is not None, leading_space, most
         self.model, self.letters = self.tok.model, _byte_letters()
-        self.blank = self.letters[32]
+        self.blank, self.table = self.letters[32], "".join(self.letters)
         self.ids = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
 
     def _word(self, w: str) -> bytes:
@@ -54,8 +58,7 @@ class PieceEncoder(dict):
         if w.isascii():
             shown = self.blank + w[1:] if w[0] == " " else w
         else:
-            letters = self.letters
-            shown = "".join([letters[b] for b in w.encode()])
+            shown = codecs.charmap_decode(w.encode(), "strict", self.table)[0]
         ids = self.ids
         return b"".join([ids[t.id] for t in self.model.tokenize(shown)])
 
@@ -74,8 +77,6 @@ class PieceEncoder(dict):
             m = _PLAIN(piece)
             if m is None or (m[1] and not self.leading_space):
                 got = b"".join([self.ids[i] for i in self.tok.encode(piece, add_special_tokens=False).ids])
-            elif m[3]:
-                got = self[piece[:-1]] + self[m[3]]
             else:
                 got = self._word(piece)
         return self._keep(piece, got)
@@ -87,10 +88,13 @@ class PieceEncoder(dict):
 
     def pieces(self, text: str) -> list[str]:
         if not self.leading_space:
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
+            if self.lower and not _BEYOND(text):
+                text = text.lower()  # letter by letter, as the library does
+            return " ".join(_MARKS(text)).replace("\n", " ").split(" ")
+        odd = text[:1].isspace() or text[-1:].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        if odd or _OTHER_SPACE(text):
             return _EDGE.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return "\0".join(_MARKS(text)).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""

@@ -753,3 +753,18 @@ def test_members_of_long_runs_meet_in_blocks_and_tables_go(spark, documents, mon
     assert collected(simhash.copies(docs), "doc_id", "copy_of") == want
     left = [spark.read.parquet(str(p)).columns for p in set(folder.glob("gleaner-*")) - before if list(p.glob("*.parquet"))]
     assert not [c for c in left if {"prefix", "set"} & set(c)]
+
+
+@pytest.mark.parametrize(("name", "leading_space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_marks_are_pieces_of_their_own(name, leading_space):
+    import random
+
+    from gleaner.llm.tokens import PieceEncoder
+
+    enc, rng = PieceEncoder(queries.vocabulary(name), leading_space), random.Random(1)
+    texts = ["".join(rng.choice("abZéÀßÿµªºx  \n\t.,;:!?|#*$%&<>'-\"()19\u0301İΣΩあ×÷ \x85\x1c\r\0") for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    for t in ["word.### Word.", "It's.'s x!!\n", "\u00e9t\u00c9!? \u0130!", *texts]:
+        assert enc.encode(t) == np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    enc = PieceEncoder(queries.vocabulary(name), leading_space)
+    enc.encode("shea.### shea!! shea, shea")
+    assert sum("shea" in piece for piece in enc) <= 1 + leading_space
