@@ -349,6 +349,25 @@ def _folded(rows: list[np.ndarray], words: int) -> np.ndarray:
     return np.array([np.bitwise_xor.reduce(r.reshape(-1, words), axis=0) for r in rows], np.uint64).reshape(-1, words)
 
 
+def few_places(odd: bytes, size: int) -> bytes:
+    """parities() of a set of so many hashes, folded to a place a hash or more: what is sent with each pair of a set."""
+    words = 1
+    while 64 * words < size and 8 * words < len(odd):
+        words *= 2
+    return np.bitwise_xor.reduce(np.frombuffer(odd, "<u8").reshape(-1, words), axis=0).tobytes()
+
+
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many places the parities of two sets differ, pair by pair; a longer row of places is folded to the shorter."""
+    lengths, out = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2), np.zeros(len(x), np.int64)
+    for most, least in np.unique(lengths, axis=0).tolist():
+        of = np.flatnonzero((lengths == (most, least)).all(1)).tolist()
+        words = min(most, least) // 8
+        p, q = (np.bitwise_xor.reduce(np.frombuffer(b"".join([z[i] for i in of]), "<u8").reshape(len(of), -1, words), axis=1) for z in (x, y))
+        out[of] = np.bitwise_count(p ^ q).sum(1)
+    return out
+
+
 def share(similarity: float, total):
     """The fewest common shingles of two sets of so many shingles in all that are `similarity` alike."""
     return np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
@@ -386,15 +405,18 @@ def near_in_run(node: np.ndarray, size: np.ndarray, label: np.ndarray, block: np
     """Pairs (a, b, their sizes) of nodes of different labels of a run whose parities allow them to be `similarity` alike.
 
     What the places that differ leave for both sets to share must reach share(): for others it is proved that they
-    aren't alike. block: -1, or where two blocks of a run meet, the one of the two.
+    aren't alike. Folded places tell nothing of sets much larger, so sizes must fit too, and only sets of as many places
+    are taken together. block: -1, or where two blocks of a run meet, the one of the two.
     """
     order = np.argsort(size, kind="stable")
     node, size, label, block, odd = node[order], size[order], label[order], block[order], [odd[i] for i in order.tolist()]
-    for at in range(0, len(node), 64):
-        x = slice(at, min(at + 64, len(node)))
-        words = len(odd[at])
+    lengths, stop, largest = np.array([len(r) for r in odd], np.int64), 0, size / similarity + 1e-6
+    while stop < len(node):
+        at, words = stop, int(lengths[stop])
+        stop = min(at + 64, int(np.searchsorted(lengths, words, "right")))
+        x = slice(at, stop)
         mine = _folded(odd[x], words)
-        upto = int(np.searchsorted(size, size[x][-1] / similarity + 1e-6, "right"))
+        upto = int(np.searchsorted(size, largest[stop - 1], "right"))
         for b in range(at, upto, 4096):
             y = slice(b, min(b + 4096, upto))
             other, differ = _folded(odd[y], words), np.zeros((x.stop - x.start, y.stop - y.start), np.int64)
@@ -402,6 +424,7 @@ def near_in_run(node: np.ndarray, size: np.ndarray, label: np.ndarray, block: np
                 differ += np.bitwise_count(mine[:, None, w] ^ other[None, :, w])
             total = size[x][:, None] + size[y][None, :]
             can = (total - differ) // 2 >= share(similarity, total)
+            can &= size[y][None, :] <= largest[x][:, None]
             can &= (label[x][:, None] != label[y][None, :]) & (node[x][:, None] != node[y][None, :])
             can &= (block[x][:, None] < 0) | (block[x][:, None] != block[y][None, :])
             i, j = np.nonzero(can)
@@ -420,7 +443,8 @@ def candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
     longer runs meet a second time, with their sets' parities (`odd`), in blocks of BLOCK that meet two by two: of
     their pairs only those become rows that the parities do not rule out. A pair that is alike is so met at each of the
     c hashes that both its prefixes have, and shares at most c + ceil(similarity * the larger size) - 1 in all; one for
-    which that is too few goes. Nothing is missed or capped.
+    which that is too few goes. So does one whose parities leave too few to share: these are a small part of the sets, and
+    leave few pairs but those that are alike, so no other pair's sets are sent about. Nothing is missed or capped.
     """
     spark = prefixes.sparkSession
     rows = prefixes.select(F.explode("prefix").alias("key"), "doc_id", "size", "label")
@@ -473,17 +497,58 @@ def candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
     met = both.filter("n >= 0").unionByName(again).groupBy(*names).agg(F.count("*").alias("c"))
     fewest = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-9)
     most = F.col("c") + F.ceil(F.lit(similarity) * F.greatest("m", "n") - 1e-9) - 1
-    pairs = written(met.filter(most >= fewest).select("a", "b").distinct())
+    pairs = written(met.filter(most >= fewest).select("a", "b", F.expr("m + n").alias("total")).distinct())
     dropped(both)
-    return pairs
+    digests = on_nodes(prefixes.select(F.col("doc_id").alias("node"), "size", "odd"))
+    out = not_ruled_out(pairs, digests, similarity)
+    dropped(pairs, digests)
+    return out
+
+
+def on_nodes(sets: DataFrame) -> DataFrame:
+    """node, odd (a written table): few_places() of rows node, size, odd; rows of one node are equal."""
+
+    def run(batches):
+        for b in batches:
+            odd = [few_places(x, n) for x, n in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(odd, pa.binary())], names=["node", "odd"])
+
+    return written(sets.mapInArrow(run, "node long, odd binary").dropDuplicates(["node"]))
+
+
+def not_ruled_out(pairs: DataFrame, digests: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a written table): the pairs (a, b, total: their sizes' sum; a written table) whose sets' parities (node, odd) allow them to be `similarity` alike."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, total, x, y = (batch.column(i) for i in range(5))
+            sizes = total.to_numpy()
+            can = pa.array((sizes - differing(x.to_pylist(), y.to_pylist())) // 2 >= share(similarity, sizes))
+            yield pa.RecordBatch.from_arrays([a.filter(can), b.filter(can)], names=["a", "b"])
+
+    both, held = with_both(pairs, digests)
+    out = written(both.select("a", "b", "total", "x", "y").mapInArrow(run, "a long, b long"))
+    dropped(*held)
+    return out
+
+
+def with_both(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """pairs (of nodes a and b; a written table) with x and y, what sets (node, and one column; a written table) has of both; and tables to drop when it is read.
+
+    Beyond FEW pairs, a node of many pairs is salted.
+    """
+    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+    if pairs.count() <= FEW:
+        return pairs.join(x, "a").join(y, "b"), []
+    first = written(join_salted(pairs, x, ["a"]))
+    return join_salted(first, y, ["b"]), [first]
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """u, v (a written table): the pairs (a, b: nodes; a written table) whose texts are at least `similarity` alike, or both without words.
 
     Only texts of nodes in pairs are read into sets. Their list is a written table, so that Spark knows its size: it is
-    broadcast where it is small, and joined by an exchange of the texts where not. Beyond FEW pairs, a node of many
-    pairs is salted.
+    broadcast where it is small, and joined by an exchange of the texts where not.
     """
     some = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "v"), "node"))
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("v"), "text").join(some, ["doc_id", "v"]).select("node", "text")
@@ -492,16 +557,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, si
         return {"node": part.column(0), "set": [np.unique(hashes(t, width)).view(np.int64) for t in texts]}
 
     sets = written(on_texts(texts, "text", "node long, set array<long>", run).dropDuplicates(["node"]))
-    x, y, done = sets.toDF("a", "x"), sets.toDF("b", "y"), [some, sets]
-    if pairs.count() > FEW:
-        done.append(written(join_salted(pairs, x, ["a"])))
-        both = join_salted(done[-1], y, ["b"])
-    else:
-        both = pairs.join(x, "a").join(y, "b")
+    both, held = with_both(pairs, sets)
     met = F.size(F.array_intersect("x", "y"))
     like = met / F.greatest(F.lit(1), F.size("x") + F.size("y") - met)
     out = written(both.filter((like >= similarity) | (F.size("x") + F.size("y") == 0)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    dropped(*done)
+    dropped(some, sets, *held)
     return out
 
 

@@ -735,6 +735,43 @@ def test_a_long_run_of_equal_keys_makes_no_row_a_pair():
     assert len(alike) >= 20 and alike <= pairs and len(pairs) < n * (n - 1) // 20
 
 
+def test_sets_of_other_sizes_are_no_pairs_of_a_long_run():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (*range(60, 100), *range(900, 3000, 50), 4)]
+    sets.append(np.append(sets[41], np.uint64(5)))
+    n = len(sets)
+    node, size, odd = np.arange(n), np.array([len(s) for s in sets]), [np.frombuffer(simhash.parities(s), "<u8") for s in sets]
+    got = [cols for cols in simhash.near_in_run(node, size, np.arange(n), np.full(n, -1), odd, 0.8)]
+    assert [x for cols in got for x in zip(cols[0].tolist(), cols[1].tolist(), strict=True)] == [(41, n - 1)]
+
+
+def test_places_that_differ_are_at_most_the_hashes_that_do():
+    rng = np.random.default_rng(7)
+    sizes = [0, 1, 16, 63, 64, 65, 300, 900, 1000, 20_000]
+    a = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in sizes]
+    b = [np.append(s[: len(s) - len(s) // 20], rng.integers(0, 1 << 63, len(s) // 10 + 1, dtype=np.uint64)) for s in a]
+    for small in (lambda s: simhash.parities(s), lambda s: simhash.few_places(simhash.parities(s), len(s))):
+        got = simhash.differing([small(s) for s in a], [small(s) for s in b])
+        assert all(0 < d <= len(np.setxor1d(x, y)) for d, x, y in zip(got.tolist(), a, b, strict=True))
+    assert [len(simhash.few_places(simhash.parities(s), len(s))) for s in a] == [8, 8, 8, 8, 8, 16, 64, 128, 128, 2048]
+    assert simhash.differing([], []).tolist() == []
+
+
+def test_pairs_of_equal_prefixes_but_other_sets_are_not_sent_on(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        low = rng.integers(0, 1 << 40, 21, dtype=np.uint64)
+        for i in range(3):
+            rest = rng.integers(1 << 41, 1 << 63, 79, dtype=np.uint64) if i < 2 else np.append(rows[-1][1][21:-2], rng.integers(1 << 41, 1 << 63, 2, dtype=np.uint64))
+            rows.append((3 * k + i, np.unique(np.concatenate([low, rest]))))
+    none = np.empty(0, np.uint64)
+    table = [(i, len(s), simhash.prefix_of(s, none, 0.8).tolist(), i, simhash.parities(s)) for i, s in rows]
+    prefixes = written(spark.createDataFrame(table + table[:5], "doc_id long, size long, prefix array<long>, label long, odd binary"))
+    got = sorted((r["a"], r["b"]) for r in simhash.candidates(prefixes, 0.8).collect())
+    assert got == [(3 * k + 1, 3 * k + 2) for k in range(40)]
+
+
 def test_members_of_long_runs_meet_in_blocks_and_tables_go(spark, documents, monkeypatch):
     from pathlib import Path
 
