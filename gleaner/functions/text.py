@@ -86,7 +86,7 @@ def spans(text: Column, pattern: str, group: int) -> Column:
     One replacement marks the matches (and their groups), one split cuts there, and one fold over the parts adds up
     their lengths: a text is searched once, and a text without a match costs nothing more.
     """
-    clean = F.translate(text, MARK, OTHER)
+    clean = F.when(text.contains(MARK), F.translate(text, MARK, OTHER)).otherwise(text)
     marked = F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}" + (f"${group}{MARK}" if group else ""))
     parts = F.split(marked, MARK, -1)
     empty = F.expr("cast(array() as array<struct<start:int,raw:string,span:string,whole:string>>)")

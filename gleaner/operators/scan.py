@@ -39,8 +39,13 @@ CUES = {
     "routing_number": ["routing", "aba", "transit"], "account_number": ["account", "acct", "checking", "savings"], "passport_number": ["passport", "passeport"],
     "drivers_license_number": ["driver", "driving"], "medical_record_number": ["mrn", "med", "record"], "national_provider_identifier": ["npi", "national"],
     "employer_identification_number": ["ein", "employer", "federal"], "full_name": ["name", "owner", "patient", "employee", "member", "student", "borrower", "applicant", "customer", "client", "insured", "subscriber", "dependent", "guarantor", "spouse", "child", "parent"],
-    "email_address": ["@"],
 }
+#: Marks that a text holds if a shape can match in it, by the shape's type and place; cheaper than the shapes.
+MARKS = {("EMAIL", 0): "@", ("DOB", 2): "\\d,?\\s+(?:19|20)\\d{2}\\b", ("DOB", 3): "\\d,?\\s+(?:19|20)\\d{2}\\b", ("DOB", 4): "[A-Za-z]\\s+(?:19|20)\\d{2}\\b"}
+#: So many rules with CUES make up for a text in lower case.
+CUED = 3
+#: How far around a span its lines are looked for before the whole text is, and how far its windows go.
+REACH, NEAR = 1000, 200
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -60,13 +65,15 @@ def candidates(sources: DataFrame, ref: str = "source_ref", text: str = "text",
     """ref, text, the columns to keep, rule, match_ord, start, raw, span of each match of each rule's shapes; blank ones left out."""
     rows = spread(sources.select(F.col(ref).alias("source_ref"), F.col(text).alias("text"), *keep).filter(F.length("text") > 0))
     none = F.expr("cast(array() as array<struct<rule:int,match_ord:int,start:int,raw:string,span:string>>)")
-    cued = any(r.subtype in CUES for _, r in chosen(types))
+    cued = sum(r.subtype in CUES for _, r in chosen(types)) >= CUED
     rows = held(rows, low=F.lower(F.col("text"))) if cued else rows
     arrays = []
     for i, r in chosen(types):
-        for p in r.patterns:
+        for k, p in enumerate(r.patterns):
             found = F.transform(T.spans(F.col("text"), "(?im)" + p, r.group), _of_rule(i))
-            arrays.append(F.when(T.contains_any(F.col("low"), CUES[r.subtype]), found).otherwise(none) if r.subtype in CUES else found)
+            mark = MARKS.get((r.type, k))
+            may = F.col("text").rlike(mark) if mark else T.contains_any(F.col("low"), CUES[r.subtype]) if cued and r.subtype in CUES else None
+            arrays.append(found if may is None else F.when(may, found).otherwise(none))
     found = rows.select("source_ref", "text", *keep, F.explode(F.concat(*arrays)).alias("m"))
     return found.select("source_ref", "text", *keep, "m.*").filter("raw <> ''").withColumn("end", F.col("start") + F.length("span"))
 
@@ -76,8 +83,8 @@ def held(rows: DataFrame, **cols: Column) -> DataFrame:
     return rows.withColumn("_held", F.explode(F.array(F.struct(*[v.alias(k) for k, v in cols.items()])))).select("*", "_held.*").drop("_held")
 
 
-def is_test_data(text: Column, start: Column, end: Column, raw: Column) -> Column:
-    around = F.lower(T.window(text, start, end, 200))
+def is_test_data(around: Column, raw: Column) -> Column:
+    """Whether a value is marked as made up in what stands around it (NEAR letters, in lower case), or is a known fake."""
     marked = F.exists(F.array(*[F.lit(m) for m in TEST_MARKERS]), lambda m: F.contains(around, m))
     return marked | F.lower(F.regexp_replace(raw, "[^A-Za-z0-9@]", "")).isin(FAKE_VALUES) | F.lower(raw).isin(FAKE_MAILBOXES)
 
@@ -96,10 +103,26 @@ def personal_mailbox(v: Column) -> Column:
     return low.contains("@") & ~generic_mailbox(low) & (local != "") & (domain != "") & ((F.size(chunks) >= 2) | (webmail & local.rlike("[._+-]")) | (webmail & local.rlike("^[a-z]{3,}[0-9]{0,4}$")))
 
 
+def _near(rules) -> dict[str, Column]:
+    """What the filters look at of a span's surroundings, by rule: of a test for many words each word would cut it out anew."""
+    about, at, to = F.col("about"), F.col("at"), F.col("to")
+    wide = {"dob": 48, "email": 96}
+    names = {"dob": 72, "email": 96, "phone": 72}
+
+    def of(f):
+        return _case([(i, r) for i, r in rules if r.keep in names], f).cast("string")
+
+    return {
+        "around_l": of(lambda r: F.lower(T.collapse(T.window(about, at, to, wide[r.keep]))) if r.keep in wide else None),
+        "before_l": of(lambda r: F.lower(T.collapse(T.before(about, at, 56))) if r.keep == "email" else None),
+        "names": of(lambda r: T.window(about, at, to, names[r.keep])),
+    }
+
+
 def _filters() -> dict[str, Column]:
-    """Each filter's test of a row that holds line_l and window_l: line and window in lower case, blanks collapsed."""
-    line, window, label = F.col("line_l"), F.col("window_l"), F.col("label")
-    text, start, end, raw = F.col("text"), F.col("start"), F.col("end"), F.col("raw")
+    """Each filter's test of a row that holds line_l and window_l (line and window in lower case, blanks collapsed) and _near()."""
+    line, window, label, raw = F.col("line_l"), F.col("window_l"), F.col("label"), F.col("raw")
+    around, prefix, named = F.col("around_l"), F.col("before_l"), F.col("names").rlike(LIKELY_NAME)
 
     def has(v, k):
         return T.has_any(v, list(WORDS[k]), v)
@@ -107,23 +130,18 @@ def _filters() -> dict[str, Column]:
     def either(k):
         return has(line, k) | has(window, k)
 
-    def near(n):
-        return T.window(text, start, end, n)
-
-    local48, local96 = F.lower(T.collapse(near(48))), F.lower(T.collapse(near(96)))
-    prefix = F.lower(T.collapse(T.before(text, start, 56)))
-    person = has(prefix, "email_person") | has(line, "email_person") | either("record") | has(local96, "record") | near(96).rlike(LIKELY_NAME) | has(label, "email_person")
+    person = has(prefix, "email_person") | has(line, "email_person") | either("record") | has(around, "record") | named | has(label, "email_person")
     service = has(prefix, "email_service") | either("email_service") | has(label, "email_service")
     header = label.isin("from", "to", "cc", "bcc", "reply to", "reply-to", "sender") | F.col("line").rlike("(?i)^\\s*(from|to|cc|bcc|reply[- ]to|sender)\\s*:")
     generic, personal = generic_mailbox(raw), personal_mailbox(raw)
     return {
         "ssn": F.when(either("ssn_label"), True).when(either("ssn_negative") | either("bank_negative"), False).otherwise(raw.contains("-") | raw.contains(" ")),
         "bank": either("bank_positive") | label.isin("checking", "savings"),
-        "dob": F.when(has(label, "dob_explicit"), True).when((label == "date") | has(label, "dob_negative"), False).when(has(local48, "dob_explicit"), True).when(has(local48, "dob_negative"), False)
-        .otherwise(either("dob_record") & (near(72).rlike(LIKELY_NAME) | F.col("line").rlike("[|\\t,]"))),
+        "dob": F.when(has(label, "dob_explicit"), True).when((label == "date") | has(label, "dob_negative"), False).when(has(around, "dob_explicit"), True).when(has(around, "dob_negative"), False)
+        .otherwise(either("dob_record") & (named | F.col("line").rlike("[|\\t,]"))),
         "email": F.when(person & ~generic, True).when(service | header, False).when(has(label, "email_label") | has(label, "email_person"), personal | ~generic)
         .when(has(prefix, "email_label") & ~has(prefix, "email_service"), personal | ~generic).otherwise(personal),
-        "phone": F.when(has(label, "phone_label"), True).when(either("phone_negative"), either("record") | near(72).rlike(LIKELY_NAME)).otherwise(True),
+        "phone": F.when(has(label, "phone_label"), True).when(either("phone_negative"), either("record") | named).otherwise(True),
         "ipv4": F.when(has(line, "ip_label") & has(line, "ip_person"), True).when(either("ip_negative"), False).otherwise(either("ip_label") & either("ip_person")),
     }
 
@@ -157,10 +175,20 @@ def _round2(v: Column) -> Column:
 def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Findings of candidates that pass suppression, filters, validation, context and threshold."""
     rules = chosen(types)
-    rows = found.filter(~is_test_data(F.col("text"), F.col("start"), F.col("end"), F.col("raw")))
+    # a long text is cut at a span once; what stands around the span is looked at in that part
+    start, span = F.col("start"), F.col("span")
+    rows = held(found, part=T.window(F.col("text"), start, F.col("end"), REACH))
+    rows = held(rows, about=T.window(F.col("part"), F.least(start, F.lit(REACH)), F.least(start, F.lit(REACH)) + F.length(span), NEAR))
+    rows = held(rows, about_l=F.lower("about"), at=F.least(start, F.lit(NEAR)), to=F.least(start, F.lit(NEAR)) + F.length(span))
+    rows = rows.filter(~is_test_data(F.col("about_l"), F.col("raw")))
     width = _case(rules, lambda r: F.lit(r.width), 100)
-    rows = held(rows, **{"line": T.line_of(F.col("text"), F.col("start"), F.col("span")), "window": T.window(F.col("text"), F.col("start"), F.col("end"), width), "prefix": T.line_prefix(F.col("text"), F.col("start"))})
-    rows = held(rows, line_l=F.lower(T.collapse(F.col("line"))), window_l=F.lower(T.collapse(F.col("window"))), label=T.last_label(F.col("prefix")))
+    part, place = F.col("part"), F.least(start, F.lit(REACH))
+    so_far, after = F.left(part, place), F.substr(part, place + F.length(span) + 1, F.length(part))
+    before = F.when((start <= REACH) | so_far.contains("\n"), F.substring_index(so_far, "\n", -1)).otherwise(T.line_prefix(F.col("text"), start))
+    whole = (F.length(after) < REACH) | after.contains("\n")
+    line = F.when(whole, F.concat(before, span, F.substring_index(after, "\n", 1))).otherwise(T.line_of(F.col("text"), start, span))
+    rows = held(rows, line=line, window=T.window(F.col("about"), F.col("at"), F.col("to"), width), prefix=before)
+    rows = held(rows, line_l=F.lower(T.collapse(F.col("line"))), window_l=F.lower(T.collapse(F.col("window"))), label=T.last_label(F.col("prefix")), **_near(rules))
     filters = _filters()
     passed = _case(rules, lambda r: filters[r.keep] if r.keep else None, True)
     valid = _case(rules, lambda r: r.valid(F.col("raw")) if r.valid else None, True)
@@ -198,7 +226,7 @@ def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = F
     flag = {k: _case(rules, lambda r, j=j: F.lit(r.flags[j] == "Y")) for j, k in enumerate(("hipaa", "ccpa", "pipeda", "notification_required"))}
     return rows.select(
         "source_ref", "pii_type", _case(rules, lambda r: F.lit(r.category)).alias("pii_category"), _case(rules, lambda r: F.lit(r.subtype)).alias("pii_subtype"), _case(rules, lambda r: F.lit(r.risk)).alias("risk_level"),
-        "redacted_value", excerpt(F.col("text"), F.col("start"), F.col("end"), F.col("redacted_value")).alias("excerpt"), F.col("start").alias("char_offset"), _round2(F.col("exact")).alias("confidence"),
+        "redacted_value", excerpt(F.col("about"), F.col("at"), F.col("to"), F.col("redacted_value")).alias("excerpt"), F.col("start").alias("char_offset"), _round2(F.col("exact")).alias("confidence"),
         (F.concat(method, F.lit("+followup")) if follow_up else method).alias("detection_method"), *[v.alias(k) for k, v in flag.items()], "normalized_value", "evidence", F.col("rule").alias("rule_ord"), "match_ord", *keep,
     )
 

@@ -48,7 +48,7 @@ _NAME = "([A-Z][A-Za-z'.-]+(?: [A-Z][A-Za-z'.-]+){1,3})\\b"
 
 # Shapes, weights and words of each rule. All shapes ignore case, and ^ and $ are a line's ends.
 RULES = [
-    Rule("SSN", "social_security_number", "government_identifier", (r"\b(?!000|666|9\d{2})([0-6]\d{2}|[789][0-1]\d)[-\s]?(?!00)\d{2}[-\s]?(?!0000)\d{4}\b",), "HIGH", "YYNY", 0.97, 0.95, "regex+structure",
+    Rule("SSN", "social_security_number", "government_identifier", (r"(?=\d)\b(?!000|666|9\d{2})([0-6]\d{2}|[789][0-1]\d)[-\s]?(?!00)\d{2}[-\s]?(?!0000)\d{4}\b",), "HIGH", "YYNY", 0.97, 0.95, "regex+structure",
          _w("ssn, social security, social security number"), _w("ssn, social security number"), normal=text.digits_only, keep="ssn"),
     Rule("SIN", "social_insurance_number", "government_identifier", (r"\b[1-9]\d{2}[-\s]?\d{3}[-\s]?\d{3}\b",), "HIGH", "NNYY", 0.82, 0.82, "regex+checksum",
          _w("sin, social insurance, social insurance number, insurance number, numéro d'assurance sociale"), _w("sin, social insurance number"), needs_context=True, valid=checks.sin, normal=text.digits_only),
@@ -87,7 +87,7 @@ RULES = [
          _w("name, patient, employee, member, student"), _w("full name, name, patient, employee, member"), group=1, valid=checks.full_name, normal=text.upper_collapsed),
     Rule("ZIP", "postal_code", "location", (r"\b\d{5}(?:-\d{4})?\b", r"\b[A-Z]\d[A-Z][ -]?\d[A-Z]\d\b"), "MEDIUM", "YYYN", 0.54, 0.72, "regex+context",
          _w("zip, zipcode, postal, postal code, postcode"), _w("zip, zip code, postal code"), needs_context=True, normal=text.compact_alnum),
-    Rule("EMAIL", "email_address", "contact", (r"\b[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b",), "MEDIUM", "YYYN", 0.98, 0.95, "regex",
+    Rule("EMAIL", "email_address", "contact", (r"\b(?=[A-Za-z0-9._%+\-]{1,64}+@)[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b",), "MEDIUM", "YYYN", 0.98, 0.95, "regex",
          _w("email, e-mail, mail, contact"), _w("email, email address, e-mail"), normal=lambda v: F.lower(F.trim(v)), keep="email"),
     Rule("PHONE", "phone_number", "contact", (r"(?<!\w)(?:\+?1[-.\s]?)?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[-.\s]?[2-9][0-9]{2}[-.\s]?[0-9]{4}(?:\s*(?:x|ext\.?)\s*[0-9]{1,6})?(?!\w)",), "MEDIUM", "YYYN", 0.66, 0.70, "regex+context",
          _w("phone, tel, telephone, mobile, cell, fax, call, contact"), _w("phone, phone number, telephone, mobile, cell"), _w("contact, call, support, helpdesk, service desk, customer care, questions"), needs_context=True, normal=text.phone_digits, keep="phone"),

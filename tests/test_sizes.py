@@ -12,3 +12,13 @@ def test_no_text_is_broadcast_for_owners(spark):
     for got in (attribution.attribute(found, src), attribution.attribute(found, src, people)):
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
         assert [r["entity_name"] for r in got.collect()] == ["Ana River"]
+
+
+def test_shapes_are_tried_only_where_they_can_match(spark):
+    long = "x y, " * 400
+    texts = {"a": "DOB: 3 May 1962", "b": "DOB: March 5,\n1990", "c": f"{long}Date of birth: Sep 7  2001 {long}", "d": "born 1962-03-04", "e": "due 3 May 1962"}
+    src = spark.createDataFrame(list(texts.items()), "source_ref string, text string")
+    got = scan.scan(src, types=["DOB"])
+    assert sorted((r["source_ref"], r["normalized_value"], r["char_offset"]) for r in got.collect()) == [("a", "1962-05-03", 5), ("b", "1990-03-05", 5), ("c", "2001-09-07", 2015), ("d", "1962-03-04", 5)]
+    plan = scan.candidates(src, types=["DOB", "MRN"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" not in plan and plan.count("RLIKE") == 3
