@@ -56,10 +56,13 @@ def drivers_license(v: Column) -> Column:
     return F.length(c).between(5, 20) & c.rlike("[0-9]") & ~c.rlike("^([0-9])\\1*$")
 
 
-def mrn(v: Column) -> Column:
+def mrn_shape(v: Column) -> Column:
     c = compact_alnum(v)
-    d = digits_only(c)
-    return F.length(c).between(5, 12) & (d != "") & ~d.rlike("^(.)\\1*$")
+    return F.length(c).between(5, 12) & (digits_only(c) != "")
+
+
+def mrn(v: Column) -> Column:
+    return mrn_shape(v) & ~digits_only(v).rlike("^(.)\\1*$")
 
 
 # Words that no token of a name may be.

@@ -83,9 +83,11 @@ def held(rows: DataFrame, **cols: Column) -> DataFrame:
     return rows.withColumn("_held", F.explode(F.array(F.struct(*[v.alias(k) for k, v in cols.items()])))).select("*", "_held.*").drop("_held")
 
 
-def is_test_data(around: Column, raw: Column) -> Column:
-    """Whether a value is marked as made up in what stands around it (NEAR letters, in lower case), or is a known fake."""
+def is_test_data(around: Column, raw: Column, real: bool = False) -> Column:
+    """Whether a value is marked as made up in what stands around it (NEAR letters, in lower case), or (not if real) is a known fake."""
     marked = F.exists(F.array(*[F.lit(m) for m in TEST_MARKERS]), lambda m: F.contains(around, m))
+    if real:
+        return marked
     return marked | F.lower(F.regexp_replace(raw, "[^A-Za-z0-9@]", "")).isin(FAKE_VALUES) | F.lower(raw).isin(FAKE_MAILBOXES)
 
 
@@ -172,15 +174,19 @@ def _round2(v: Column) -> Column:
     return F.floor(v * 100 + 0.5) / 100
 
 
-def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of candidates that pass suppression, filters, validation, context and threshold."""
+def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = False, keep: tuple[str, ...] = (), real: bool = False) -> DataFrame:
+    """Findings of candidates that pass suppression, filters, validation, context and threshold.
+
+    real: the values are known to be none of the made-up ones, so those that look like them (123456789, an MRN of one
+    digit) are findings too.
+    """
     rules = chosen(types)
     # a long text is cut at a span once; what stands around the span is looked at in that part
     start, span = F.col("start"), F.col("span")
     rows = held(found, part=T.window(F.col("text"), start, F.col("end"), REACH))
     rows = held(rows, about=T.window(F.col("part"), F.least(start, F.lit(REACH)), F.least(start, F.lit(REACH)) + F.length(span), NEAR))
     rows = held(rows, about_l=F.lower("about"), at=F.least(start, F.lit(NEAR)), to=F.least(start, F.lit(NEAR)) + F.length(span))
-    rows = rows.filter(~is_test_data(F.col("about_l"), F.col("raw")))
+    rows = rows.filter(~is_test_data(F.col("about_l"), F.col("raw"), real))
     width = _case(rules, lambda r: F.lit(r.width), 100)
     part, place = F.col("part"), F.least(start, F.lit(REACH))
     so_far, after = F.left(part, place), F.substr(part, place + F.length(span) + 1, F.length(part))
@@ -191,7 +197,7 @@ def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = F
     rows = held(rows, line_l=F.lower(T.collapse(F.col("line"))), window_l=F.lower(T.collapse(F.col("window"))), label=T.last_label(F.col("prefix")), **_near(rules))
     filters = _filters()
     passed = _case(rules, lambda r: filters[r.keep] if r.keep else None, True)
-    valid = _case(rules, lambda r: r.valid(F.col("raw")) if r.valid else None, True)
+    valid = _case(rules, lambda r: (r.shape if real and r.shape else r.valid)(F.col("raw")) if r.valid else None, True)
     rows = held(rows, ok=passed & valid).filter("ok").drop("ok")
     none = F.array().cast("array<string>")
     told = {}
@@ -238,6 +244,6 @@ def deduped(findings: DataFrame) -> DataFrame:
     return findings.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 
 
-def scan(sources: DataFrame, ref: str = "source_ref", text: str = "text", types: list[str] | None = None, follow_up: bool = False) -> DataFrame:
-    """All findings of the sources' texts."""
-    return deduped(scored(candidates(sources, ref, text, types), types, follow_up))
+def scan(sources: DataFrame, ref: str = "source_ref", text: str = "text", types: list[str] | None = None, follow_up: bool = False, real: bool = False) -> DataFrame:
+    """All findings of the sources' texts; real: see scored()."""
+    return deduped(scored(candidates(sources, ref, text, types), types, follow_up, real=real))

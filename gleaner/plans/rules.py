@@ -34,6 +34,7 @@ class Rule:
     valid: Callable[[Column], Column] | None = None
     normal: Callable[[Column], Column] = field(default=text.collapse)
     keep: str = ""
+    shape: Callable[[Column], Column] | None = None  # what valid asks of values that are known to be real
 
 
 def _w(words: str) -> tuple[str, ...]:
@@ -65,7 +66,7 @@ RULES = [
     Rule("MEDICARE", "medicare_beneficiary_identifier", "health_identifier", (r"\b[1-9][AC-HJ-NP-RT-Y]{2}[0-9][AC-HJ-NP-RT-Y]{2}[0-9][AC-HJ-NP-RT-Y]{2}[0-9]{2}\b",), "HIGH", "YNNY", 0.96, 0.92, "regex+structure",
          _w("medicare, mbi"), _w("medicare, medicare number, mbi"), normal=text.compact_alnum),
     Rule("MRN", "medical_record_number", "health_identifier", (r"\b(?:MRN|MED(?:ICAL)?[_\s]+REC(?:ORD)?(?:[_\s]+NUMBER)?|RECORD[_\s]+NUMBER)[#\s:.,-]*([A-Z0-9]{4,12})\b",), "HIGH", "YNNY", 0.88, 0.84, "regex+label",
-         _w("mrn, medical record, record number"), _w("mrn, medical record number"), group=1, width=150, valid=checks.mrn, normal=text.compact_alnum),
+         _w("mrn, medical record, record number"), _w("mrn, medical record number"), group=1, width=150, valid=checks.mrn, shape=checks.mrn_shape, normal=text.compact_alnum),
     Rule("NPI", "national_provider_identifier", "professional_identifier", (r"\b(?:npi|national\s+provider(?:\s+(?:identifier|id|number))?)[\s#:.,-]*([0-9]{10})\b",), "MEDIUM", "YNNN", 0.86, 0.84, "regex+label+checksum",
          _w("npi, provider identifier, provider id"), _w("npi, national provider identifier"), group=1, width=150, valid=checks.npi, normal=text.digits_only),
     Rule("IBAN", "international_bank_account_number", "financial", (r"\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{2,4}){3,8}\b",), "MEDIUM", "NYYN", 0.88, 0.86, "regex+checksum",
