@@ -47,13 +47,14 @@ _DAY, _YEAR = "(?:0?[1-9]|[12]\\d|3[01])", "(?:19\\d{2}|20\\d{2})"
 _NO_ORDERS = "order number, invoice number, confirmation number"
 _NAME = "([A-Z][A-Za-z'.-]+(?: [A-Z][A-Za-z'.-]+){1,3})\\b"
 
+# A card written in one run of digits is one by itself: digits of other numbers beside it are not read as its own.
 # Shapes, weights and words of each rule. All shapes ignore case, and ^ and $ are a line's ends.
 RULES = [
     Rule("SSN", "social_security_number", "government_identifier", (r"(?=\d)\b(?!000|666|9\d{2})([0-6]\d{2}|[789][0-1]\d)[-\s]?(?!00)\d{2}[-\s]?(?!0000)\d{4}\b",), "HIGH", "YYNY", 0.97, 0.95, "regex+structure",
          _w("ssn, social security, social security number"), _w("ssn, social security number"), normal=text.digits_only, keep="ssn"),
     Rule("SIN", "social_insurance_number", "government_identifier", (r"\b[1-9]\d{2}[-\s]?\d{3}[-\s]?\d{3}\b",), "HIGH", "NNYY", 0.82, 0.82, "regex+checksum",
          _w("sin, social insurance, social insurance number, insurance number, numéro d'assurance sociale"), _w("sin, social insurance number"), needs_context=True, valid=checks.sin, normal=text.digits_only),
-    Rule("CREDIT_CARD", "payment_card_number", "financial", (r"(?<!\d)(?:\d[ -]?){13,19}(?!\d)",), "HIGH", "NYYY", 0.84, 0.80, "regex+checksum",
+    Rule("CREDIT_CARD", "payment_card_number", "financial", (r"(?<!\d)\d{13,19}(?!\d)", r"(?<!\d)(?:\d(?!\d{12})[ -]?){13,19}(?!\d)"), "HIGH", "NYYY", 0.84, 0.80, "regex+checksum",
          _w("card, credit, debit, visa, mastercard, amex, discover, payment"), _w("card number, credit card, debit card"), _w(_NO_ORDERS), valid=checks.luhn, normal=text.digits_only),
     Rule("BANK_ACCOUNT", "routing_number", "financial", (r"\b(?:routing|aba|transit)(?:\s+(?:number|no\.?|#))?[\s#:.,-]*([0-9]{9})\b",), "HIGH", "NYYY", 0.91, 0.88, "regex+label+checksum",
          _w("routing, aba, transit, bank, ach"), _w("routing, aba, transit number"), group=1, width=150, valid=checks.aba, normal=text.digits_only),

@@ -46,3 +46,9 @@ def test_made_values_that_look_like_fakes_are_found_by_the_queries(spark):
 def test_scans_leave_out_what_looks_made_up(spark):
     src = spark.createDataFrame([("a", "MRN: A22222"), ("b", "SSN: 123-45-6789"), ("c", "MRN: A22223")], "source_ref string, text string")
     assert [r["source_ref"] for r in scan.scan(src, types=["SSN", "MRN"]).collect()] == ["c"]
+
+
+def test_cards_beside_other_numbers(spark):
+    texts = {"a": "the 4495589438270767 42.73.240.87", "b": "38.211.12.42 4366089147969128 ly", "c": "4111 1111 1111 1111", "d": "4111-1111-1111-1111.", "e": "44955894382707674273"}
+    got = scan.scan(spark.createDataFrame(list(texts.items()), "source_ref string, text string"), types=["CREDIT_CARD"])
+    assert sorted((r["source_ref"], r["normalized_value"], r["char_offset"]) for r in got.collect()) == [("a", "4495589438270767", 4), ("b", "4366089147969128", 13), ("c", "4111111111111111", 0), ("d", "4111111111111111", 0)]
