@@ -165,16 +165,16 @@ def code_point(n: Column) -> Column:
     return F.coalesce(F.try_element_at(table, n.cast("int")), F.when(valid, char), F.lit("\ufffd"))
 
 
-def unescaped(v: Column) -> Column:
-    """Entities replaced: named ones (of HTML 5, and the older ones without a semicolon), decimal and hexadecimal numbers."""
-    names, bare = _entities()
+def unescaped(v: Column, bare: bool = True) -> Column:
+    """Entities replaced: named ones (of HTML 5, and, if bare, the older ones without a semicolon), decimal and hexadecimal numbers."""
+    names, short = _entities()
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    old = "^(" + "|".join(bare) + ")"
+    old = "^(" + "|".join(short) + ")"
 
     def one(x):
         """A part after an ampersand."""
         decimal, hexadecimal = F.regexp_extract(x, "^#([0-9]+);?", 1), F.regexp_extract(x, "^#[xX]([0-9a-fA-F]+);?", 1)
-        name, without = F.regexp_extract(x, "^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(x, old, 1)
+        name, without = F.regexp_extract(x, "^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(x, old, 1) if bare else F.lit("")
         number = F.when(decimal != "", F.coalesce(decimal.try_cast("long"), F.lit(1 << 40))).when(hexadecimal != "", F.coalesce(F.conv(F.right(hexadecimal, F.lit(12)), 16, 10).try_cast("long"), F.lit(1 << 40)))
         return (
             F.when(x.startswith("#"), F.coalesce(F.concat(code_point(number), F.regexp_replace(x, "^#([0-9]+|[xX][0-9a-fA-F]+);?", "")), F.concat(F.lit("&"), x)))
@@ -185,12 +185,12 @@ def unescaped(v: Column) -> Column:
     return F.when(v.contains("&"), F.concat(first, F.array_join(F.transform(rest, one), ""))).otherwise(v)
 
 
-def html_text(html: Column) -> Column:
-    """A page's text: scripts and styles dropped, blocks on lines of their own, entities replaced, blanks collapsed."""
+def html_text(html: Column, bare: bool = True) -> Column:
+    """A page's text: scripts and styles dropped, blocks on lines of their own, entities replaced (bare: see unescaped()), blanks collapsed."""
     out = html
     for p, to in HTML_STEPS:
         out = F.regexp_replace(out, p, to)
-    out = unescaped(out)
+    out = unescaped(out, bare)
     for p, to in HTML_SPACE:
         out = F.regexp_replace(out, p, to)
     return stripped(out)

@@ -52,3 +52,13 @@ def test_cards_beside_other_numbers(spark):
     texts = {"a": "the 4495589438270767 42.73.240.87", "b": "38.211.12.42 4366089147969128 ly", "c": "4111 1111 1111 1111", "d": "4111-1111-1111-1111.", "e": "44955894382707674273"}
     got = scan.scan(spark.createDataFrame(list(texts.items()), "source_ref string, text string"), types=["CREDIT_CARD"])
     assert sorted((r["source_ref"], r["normalized_value"], r["char_offset"]) for r in got.collect()) == [("a", "4495589438270767", 4), ("b", "4366089147969128", 13), ("c", "4111111111111111", 0), ("d", "4111111111111111", 0)]
+
+
+def test_entities_of_pages_end_with_a_semicolon(spark, tmp_path):
+    from gleaner import registry
+    from gleaner.functions import text
+
+    pages = spark.createDataFrame([(1, "<title>a &amp;&amp</title> &quot;b&quot; &am")], "page_id long, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert [r["text"] for r in registry.QUERIES["html_text"](spark, str(tmp_path)).collect()] == ['a &&amp "b" &am']
+    assert [r["t"] for r in pages.select(text.html_text(pages["html"]).alias("t")).collect()] == ['a && "b" &am']
