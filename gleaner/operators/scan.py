@@ -107,7 +107,7 @@ def personal_mailbox(v: Column) -> Column:
 
 def _near(rules) -> dict[str, Column]:
     """What the filters look at of a span's surroundings, by rule: of a test for many words each word would cut it out anew."""
-    about, at, to = F.col("about"), F.col("at"), F.col("to")
+    about, at, to = F.col("_about"), F.col("_at"), F.col("_to")
     wide = {"dob": 48, "email": 96}
     names = {"dob": 72, "email": 96, "phone": 72}
 
@@ -183,17 +183,17 @@ def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = F
     rules = chosen(types)
     # a long text is cut at a span once; what stands around the span is looked at in that part
     start, span = F.col("start"), F.col("span")
-    rows = held(found, part=T.window(F.col("text"), start, F.col("end"), REACH))
-    rows = held(rows, about=T.window(F.col("part"), F.least(start, F.lit(REACH)), F.least(start, F.lit(REACH)) + F.length(span), NEAR))
-    rows = held(rows, about_l=F.lower("about"), at=F.least(start, F.lit(NEAR)), to=F.least(start, F.lit(NEAR)) + F.length(span))
-    rows = rows.filter(~is_test_data(F.col("about_l"), F.col("raw"), real))
+    rows = held(found, _part=T.window(F.col("text"), start, F.col("end"), REACH))
+    rows = held(rows, _about=T.window(F.col("_part"), F.least(start, F.lit(REACH)), F.least(start, F.lit(REACH)) + F.length(span), NEAR))
+    rows = held(rows, _about_l=F.lower("_about"), _at=F.least(start, F.lit(NEAR)), _to=F.least(start, F.lit(NEAR)) + F.length(span))
+    rows = rows.filter(~is_test_data(F.col("_about_l"), F.col("raw"), real))
     width = _case(rules, lambda r: F.lit(r.width), 100)
-    part, place = F.col("part"), F.least(start, F.lit(REACH))
+    part, place = F.col("_part"), F.least(start, F.lit(REACH))
     so_far, after = F.left(part, place), F.substr(part, place + F.length(span) + 1, F.length(part))
     before = F.when((start <= REACH) | so_far.contains("\n"), F.substring_index(so_far, "\n", -1)).otherwise(T.line_prefix(F.col("text"), start))
     whole = (F.length(after) < REACH) | after.contains("\n")
     line = F.when(whole, F.concat(before, span, F.substring_index(after, "\n", 1))).otherwise(T.line_of(F.col("text"), start, span))
-    rows = held(rows, line=line, window=T.window(F.col("about"), F.col("at"), F.col("to"), width), prefix=before)
+    rows = held(rows, line=line, window=T.window(F.col("_about"), F.col("_at"), F.col("_to"), width), prefix=before)
     rows = held(rows, line_l=F.lower(T.collapse(F.col("line"))), window_l=F.lower(T.collapse(F.col("window"))), label=T.last_label(F.col("prefix")), **_near(rules))
     filters = _filters()
     passed = _case(rules, lambda r: filters[r.keep] if r.keep else None, True)
@@ -232,7 +232,7 @@ def scored(found: DataFrame, types: list[str] | None = None, follow_up: bool = F
     flag = {k: _case(rules, lambda r, j=j: F.lit(r.flags[j] == "Y")) for j, k in enumerate(("hipaa", "ccpa", "pipeda", "notification_required"))}
     return rows.select(
         "source_ref", "pii_type", _case(rules, lambda r: F.lit(r.category)).alias("pii_category"), _case(rules, lambda r: F.lit(r.subtype)).alias("pii_subtype"), _case(rules, lambda r: F.lit(r.risk)).alias("risk_level"),
-        "redacted_value", excerpt(F.col("about"), F.col("at"), F.col("to"), F.col("redacted_value")).alias("excerpt"), F.col("start").alias("char_offset"), _round2(F.col("exact")).alias("confidence"),
+        "redacted_value", excerpt(F.col("_about"), F.col("_at"), F.col("_to"), F.col("redacted_value")).alias("excerpt"), F.col("start").alias("char_offset"), _round2(F.col("exact")).alias("confidence"),
         (F.concat(method, F.lit("+followup")) if follow_up else method).alias("detection_method"), *[v.alias(k) for k, v in flag.items()], "normalized_value", "evidence", F.col("rule").alias("rule_ord"), "match_ord", *keep,
     )
 
